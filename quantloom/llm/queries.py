@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import simhash
+from quantloom.llm import chatformat, fmindex, simhash, tokencount, urlrules
+from quantloom.llm.vocabularies import tokenizer_file
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +21,75 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one made of control strings, formatted and read back."""
+    own = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame(own, "conv_id long, turn long, role string, text string")
+    return chatformat.conversation_digests(chatformat.format_conversations(turns.unionByName(more)))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that 10-word windows of the benchmark hit, and the items found."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = fmindex.find_contamination(docs, _table(spark, sf_dir, "benchmark"), window=10)
+    n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document, through a digest cache that starts empty."""
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=512)
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The standing rules' verdict on each page's url."""
+    return urlrules.judge_urls(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op4_chat_format": op4_chat_format,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_token_counts": op7_token_counts,
+    "op10_url_filters": op10_url_filters,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_ESCAPED = r"replace(replace(replace(replace({}, '\', '\\'), '<', '\<'), '[', '\['), ']', '\]')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat_format": f"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+            CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+            CAST(3 + sum(length({_ESCAPED.format("text")}) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9
+                ELSE 14 + length({_ESCAPED.format("role")}) END) AS BIGINT) AS formatted_chars
+        FROM t GROUP BY conv_id""",
+    "op10_url_filters": r"""
+        WITH u AS (
+            SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        p AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+        r AS (
+            SELECT *, '.' || host AS h FROM p),
+        d AS (
+            SELECT page_id, host, path, CASE
+                WHEN h LIKE '%.example.com' AND path LIKE '/en/7%' THEN 'example.com/en/7'
+                WHEN h LIKE '%.example.net' AND path LIKE '/de/8%' THEN 'example.net/de/8'
+                WHEN h LIKE '%.com' AND path LIKE '/en/%' THEN 'com/en/'
+                WHEN h LIKE '%.net' AND path LIKE '/de/%' THEN 'net/de/'
+                WHEN h LIKE '%.org' AND path LIKE '/es/%' THEN 'org/es/' END AS rule FROM r)
+        SELECT page_id, host, path, rule, CASE WHEN rule IS NULL OR rule = 'example.com/en/7' THEN 'allow' ELSE 'block' END AS verdict FROM d""",
+}
