@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import chatformat, fmindex, simhash, tokencount, urlrules
+from quantloom.llm import chatformat, decisionlist, fmindex, gam, mixing, repair, simhash, tokencount, urlrules
 from quantloom.llm.vocabularies import tokenizer_file
+from quantloom.shared import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token shards, written and read back."""
+    path = new_path(spark, "tokens")
+    repair.write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), end_id=1)
+    return repair.read_documents(spark, path)
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one made of control strings, formatted and read back."""
     own = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -29,6 +37,14 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatformat.conversation_digests(chatformat.format_conversations(turns.unionByName(more)))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of each document, and the learned decision list's verdict."""
+    docs = _table(spark, sf_dir, "documents")
+    rules = decisionlist.fit(docs, _table(spark, sf_dir, "labels"), max_labelled=20_000)
+    judged = decisionlist.judge(docs, rules, min_words=20, max_repeat_percent=30)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("rule").alias("first_rule"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that 10-word windows of the benchmark hit, and the items found."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -49,6 +65,19 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=512)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The additive model's score of each document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = gam.fit(docs, _table(spark, sf_dir, "labels"), max_labelled=20_000)
+    scored = gam.score_documents(docs, model)
+    return scored.select("doc_id", gam.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of 150 percent of all sizes, by source weights 3, 1, 2, takes of each document."""
+    return mixing.mixed_sizes(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, passes=2)
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The standing rules' verdict on each page's url."""
     return urlrules.judge_urls(_table(spark, sf_dir, "pages"))
@@ -56,9 +85,13 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_token_output": op2_token_output,
     "op4_chat_format": op4_chat_format,
+    "op5_quality_rules": op5_quality_rules,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_counts": op7_token_counts,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_mix_sources": op9_mix_sources,
     "op10_url_filters": op10_url_filters,
 }
 
@@ -76,6 +109,29 @@ ORACLE_SQL: dict[str, str] = {
             CAST(3 + sum(length({_ESCAPED.format("text")}) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9
                 ELSE 14 + length({_ESCAPED.format("role")}) END) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op9_mix_sources": r"""
+        WITH d AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place, md5(coalesce(text, '')) AS tie FROM documents),
+        s AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+        w AS (
+            SELECT *, CAST([3, 1, 2][1 + rank % 3] AS DOUBLE) AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
+        f AS (
+            SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
+            FROM w WINDOW o AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        t AS (
+            SELECT source, rank, source_size, least(cap, max(level) OVER () * weight) AS target FROM f),
+        c AS (
+            SELECT d.*, t.rank, t.source_size, t.target, sum(size) OVER (PARTITION BY t.rank ORDER BY place, tie ROWS UNBOUNDED PRECEDING) AS done
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        h AS (
+            SELECT *, CASE WHEN target > 0 THEN (source_size * k::DOUBLE + done) / target END AS time FROM c, (VALUES (0), (1)) AS p(k)),
+        e AS (
+            SELECT *, sum(size) OVER (ORDER BY time, rank, k, place, tie ROWS UNBOUNDED PRECEDING) - size AS before,
+                (SELECT sum(target) FROM t) AS budget FROM h WHERE time IS NOT NULL)
+        SELECT c.doc_id, c.size, c.source_size, c.target, CAST(coalesce(sum(CASE WHEN e.before < e.budget THEN e.size END), 0) AS BIGINT) AS taken
+        FROM c LEFT JOIN e ON c.place = e.place AND c.tie = e.tie AND c.rank = e.rank GROUP BY c.doc_id, c.size, c.source_size, c.target""",
     "op10_url_filters": r"""
         WITH u AS (
             SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
