@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import chatformat, decisionlist, fmindex, gam, mixing, repair, simhash, tokencount, urlrules
+from quantloom.llm import chatformat, decisionlist, fmindex, gam, mixing, repair, simhash, suffixdedup, tokencount, urlrules
 from quantloom.llm.vocabularies import tokenizer_file
 from quantloom.shared import new_path
 
@@ -29,6 +29,12 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_documents(spark, path)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document that repeated strings of 200 bytes cover."""
+    found = suffixdedup.repeated_bytes(_table(spark, sf_dir, "documents"), length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one made of control strings, formatted and read back."""
     own = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -86,6 +92,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_output": op2_token_output,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_chat_format": op4_chat_format,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontaminate": op6_decontaminate,
