@@ -13,11 +13,13 @@ the order, n_docs and n_tokens are read without the payload.
 
 from __future__ import annotations
 
+import os
 import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.columns import narrowed
-from quantloom.shared import bound_arrow_batches
+from quantloom.shared import bound_arrow_batches, stage_table
 
 MAGIC = b"RPR1"
 _HEAD = struct.Struct("<4sIQQQQB")
@@ -51,33 +53,39 @@ def _runs_alternate(at: np.ndarray) -> np.ndarray:
     return at[(np.arange(len(at)) - start) % 2 == 0]
 
 
-def compress(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = 14, least: int = 4, rules_a_round: int = 4096, saving: float = 0.005) -> Grammar:
+def compress(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = 7, least: int = 4, rules_a_round: int = 3000, most_rules: int = 16_000, saving: float = 0.005) -> Grammar:
     """Re-Pair over ``ids`` (all below ``base``); ``last`` marks ends of documents, which no rule crosses.
 
-    Stops after ``rounds`` rounds, or when no pair occurs ``least`` times, or
-    when a round saves less than ``saving`` of the sequence.
+    Stops after ``rounds`` rounds or ``most_rules`` rules, or when no pair
+    occurs ``least`` times, or when a round saves less than ``saving`` of the
+    sequence.
     """
-    seq, last = ids.astype(np.int64), last.astype(bool)
+    seq, last = ids.astype(np.uint32), last.astype(bool)
     left, right, n = [], [], base
+    slots = 1 << 20
     for _ in range(rounds):
-        if len(seq) < 2:
+        room = min(rules_a_round, most_rules - (n - base))
+        if len(seq) < 2 or room <= 0:
             break
-        free = ~last[:-1]
-        slot = (seq[:-1] * 0x9E3779B1 + seq[1:] * 0x85EBCA77) & ((1 << 20) - 1)
-        many = np.bincount(slot[free], minlength=1 << 20)  # at least as many as the pair itself occurs
-        most = np.partition(many, len(many) - rules_a_round)[len(many) - rules_a_round]
-        at = np.flatnonzero(free & (many[slot] >= max(least, most)))
+        slot = ((seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(12)).astype(np.int64)
+        slot[np.flatnonzero(last[:-1])] = slots
+        many = np.bincount(slot, minlength=slots + 1)  # at least as many as the pair itself occurs
+        many[slots] = 0
+        at_least = np.cumsum(np.bincount(np.minimum(many, 1 << 16))[::-1])[::-1]  # slots that hold so many pairs or more
+        fewest = max(least, int(np.searchsorted(-at_least, -room, side="left")))
+        at = np.flatnonzero(many[slot] >= fewest)
         if not len(at):
             break
-        key = seq[at] << 32 | seq[at + 1]
+        key = seq[at].astype(np.int64) << 32 | seq[at + 1]
         _, which, count = np.unique(key, return_inverse=True, return_counts=True)
-        weight = np.zeros(len(seq) + 1, np.int64)
+        weight = np.zeros(len(seq) + 2, np.int64)
         weight[at + 1] = count[which]  # shifted by one, so that both neighbours exist
-        best = (weight[at + 1] >= weight[at]) & (weight[at + 1] >= weight[np.minimum(at + 2, len(seq))]) & (count[which] >= least)
+        best = (weight[at + 1] >= weight[at]) & (weight[at + 1] >= weight[at + 2]) & (count[which] >= least)
         at = _runs_alternate(at[best]) if best.any() else at[:0]
-        key = seq[at] << 32 | seq[at + 1]
+        key = seq[at].astype(np.int64) << 32 | seq[at + 1]
         pairs, which, count = np.unique(key, return_inverse=True, return_counts=True)
         use = count >= least
+        use[np.argsort(-count, kind="stable")[room:]] = False
         if not use.any():
             break
         number = np.cumsum(use) - 1 + n
@@ -95,7 +103,7 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = 14, lea
         if done:
             break
     none = np.empty(0, np.int64)
-    return Grammar(base, np.concatenate([none, *left]), np.concatenate([none, *right]), seq)
+    return Grammar(base, np.concatenate([none, *left]), np.concatenate([none, *right]), seq.astype(np.int64))
 
 
 def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -218,56 +226,78 @@ class Shard:
 _MEMORY = 900_000
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = k = len(self)
+        self.new.append(word)
+        return k
+
+
 class Encoder:
     """Encodes as the library does, and remembers the ids of words.
 
     A word is what stands between ASCII white space, which the tokenizers this
     serves drop without looking across it. ASCII letters are lower-cased first,
     as they do; a text where that could matter to composed characters, or that
-    may hold a special token, goes to the library whole.
+    may hold a special token, goes to the library whole. New words go there
+    many at a time, with a special token between them that marks the borders.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.size = max(self.tokenizer.get_vocab_size(True), 2)
-        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = self.tokenizer.get_added_tokens_decoder()
+        self.marks = [t.content for t in special.values()]
+        self.border, self.between = min((k, t.content) for k, t in special.items() if t.special)
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Numbers()
         self.flat = np.empty(1 << 20, np.int32)
-        self.used = 0
+        self.used = self.learned = 0
         self.start = np.empty(1 << 18, np.int64)
         self.length = np.empty(1 << 18, np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        got = self._encode([w.decode() for w in words])
-        n = np.fromiter(map(len, got), np.int64, len(got))
-        k, total = len(self.known), int(n.sum())
+    def _learn(self) -> None:
+        words, self.known.new = self.known.new, []
+        if not words:
+            return
+        joined = [self.between.join(w.decode() for w in words[i : i + 256]) + self.between for i in range(0, len(words), 256)]
+        ids = np.fromiter(chain.from_iterable(self._encode(joined)), np.int32)
+        ends = np.flatnonzero(ids == self.border)
+        n = np.diff(ends, prepend=-1) - 1
+        k, total = self.learned, len(ids) - len(ends)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while k + len(words) > len(self.start):
             self.start, self.length = (np.concatenate([a, np.empty_like(a)]) for a in (self.start, self.length))
-        self.flat[self.used : self.used + total] = np.fromiter((i for g in got for i in g), np.int32, total)
+        self.flat[self.used : self.used + total] = ids[ids != self.border]
         self.start[k : k + len(words)] = self.used + np.cumsum(n) - n
         self.length[k : k + len(words)] = n
-        self.known.update(zip(words, range(k, k + len(words)), strict=True))
         self.used += total
+        self.learned += len(words)
 
     def _by_words(self, text: str) -> bytes | None:
         """The text to cut to words, or None if only the library can tell."""
         if any(m in text for m in self.marks) or "<|" in text:
             return None
-        if text.isascii():
-            return text.encode().lower()
         low = text.encode().lower()
+        if text.isascii():
+            return low
         return low if unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low.decode()) else None
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -275,20 +305,22 @@ class Encoder:
         if len(self.known) > _MEMORY:
             self._forget()
         cut = [self._by_words(t) for t in texts]
-        words = [None if c is None else c.split() for c in cut]
-        if new := list(set().union(*(w for w in words if w is not None)).difference(self.known)):
-            self._learn(new)
-        whole = iter(self._encode([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        out, lengths = [], np.empty(len(texts), np.int64)
-        for i, w in enumerate(words):
-            if w is None:
-                ids = np.array(next(whole), np.int32)
-            else:
-                at = np.fromiter(map(self.known.__getitem__, w), np.int64, len(w))
-                ids = _gather(self.flat, self.start[at], self.length[at])
-            out.append(ids)
-            lengths[i] = len(ids)
-        return np.concatenate([np.empty(0, np.int32), *out]), lengths
+        words = [[] if c is None else c.split() for c in cut]
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        self._learn()
+        each = self.length[at]
+        lengths = np.zeros(len(texts), np.int64)
+        some = np.flatnonzero(counts)
+        if len(some):
+            lengths[some] = np.add.reduceat(each, (np.cumsum(counts) - counts)[some])
+        ids = _gather(self.flat, self.start[at], each)
+        whole = [i for i, c in enumerate(cut) if c is None]
+        if whole:
+            found = self._encode([texts[i] for i in whole])
+            ids = np.insert(ids, np.repeat(np.cumsum(lengths)[whole], [len(f) for f in found]), np.fromiter(chain.from_iterable(found), np.int32))
+            lengths[whole] = [len(f) for f in found]
+        return ids, lengths
 
 
 _loaded: dict[str, Encoder] = {}
@@ -367,7 +399,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     bound_arrow_batches(spark, rows=8)
     shards = spark.read.schema(SCHEMA).parquet(path)
     before = Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("part", "nth", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"))
+    # Written first, so that its size is known when the join with the payloads is planned.
+    starts, _ = stage_table(shards.select("part", "nth", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start")), "shard-starts")
     placed = shards.join(starts, ["part", "nth"]).select("start", "payload")
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 

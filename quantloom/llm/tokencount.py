@@ -10,6 +10,7 @@ from there.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 
 import numpy as np
@@ -37,6 +38,7 @@ class Counter:
     """Counts tokens as the library does, and remembers the counts of single words."""
 
     def __init__(self, path: str, pieces: bool = True) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
