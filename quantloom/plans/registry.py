@@ -1,7 +1,17 @@
-"""All named queries of the research engine."""
+"""All named queries of the research engine, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quantloom.plans import research
+
 FLAGSHIP = "momentum_top4"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+for _part in (research,):
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL
