@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.shared import bound_arrow_batches, stage_table
@@ -203,29 +203,32 @@ def _bucket(rows: list[tuple], length: int, gram: int) -> pa.RecordBatch:
     back = np.array([r[1] for r in rows], np.int64)
     copies = np.array([len(r[2]) for r in rows], np.int64)
     row, low, high = _spans(repeated_phases(contexts, back, copies, length, gram), length)
-    cls, start, end = [], [], []
+    doc, nth, start, end = [], [], [], []
     for i, a, b in zip(row.tolist(), low.tolist(), high.tolist(), strict=True):
         for m in rows[i][2]:
-            cls.append(m["cls"])
+            doc.append(m["doc"])
+            nth.append(m["nth"])
             start.append(m["pos"] + a)
             end.append(m["pos"] + b)
-    return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["cls", "start", "end"])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (doc, nth, start, end)], ["doc", "nth", "start", "end"])
 
 
 # --- the plan --------------------------------------------------------------
 
 _CONTEXTS = pa.schema(
-    [("lead", pa.binary()), ("context", pa.binary()), ("back", pa.int32()), ("members", pa.list_(pa.struct([("cls", pa.int64()), ("pos", pa.int64())])))]
+    [("lead", pa.binary()), ("context", pa.binary()), ("back", pa.int32()), ("members", pa.list_(pa.struct([("doc", pa.int64()), ("nth", pa.int64()), ("pos", pa.int64())])))]
 )
 
 
-def _context_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _context_batch(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     """The windows' bytes of each anchor; equal ones of the batch as one row."""
     held: dict[tuple[bytes, int], list[dict]] = {}
-    for cls, text, own in zip(*(batch.column(c).to_pylist() for c in ("cls", "text", "own")), strict=True):
-        for x in own:
-            key = text[x["first"] : x["until"]], x["pos"] - x["first"]
-            held.setdefault(key, []).append({"cls": cls, "pos": x["pos"]})
+    for doc, nth, text, own in zip(*(batch.column(c).to_pylist() for c in ("doc", "nth", "text", "own")), strict=True):
+        for code in own:
+            rest, span = divmod(code, length)
+            pos, back = divmod(rest, length)
+            first = pos - back
+            held.setdefault((text[first : first + span + length], back), []).append({"doc": doc, "nth": nth, "pos": pos})
     cols = [[c[b : b + _LEAD] for c, b in held], [c for c, _ in held], [b for _, b in held], list(held.values())]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _CONTEXTS.types, strict=True)], schema=_CONTEXTS)
 
@@ -240,6 +243,9 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+_SPANS = "array<struct<start:long,end:long>>"
+
+
 def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 64) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept_sha256) of every row; spans are the maximal removed runs of bytes.
 
@@ -253,52 +259,58 @@ def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 64) -> DataFr
     spark = docs.sparkSession
     bound_arrow_batches(spark)
     text = F.coalesce(docs["text"], F.lit(""))
-    keyed, _ = stage_table(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("sha")), "texts")
-    first = keyed.groupBy("sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("r"), F.count("*").alias("copies"), F.max("n_bytes").alias("size"))
-    classes, _ = stage_table(first.select(F.monotonically_increasing_id().alias("cls"), "sha", "copies", "size", F.col("r.doc_id").alias("r_id")), "text-classes")
-
-    # One text for each class, dealt by class; this exchange is used three times below.
-    long = classes.where(F.col("size") >= length).select("cls", F.col("sha").alias("r_sha"), "r_id")
-    plain = docs.select(docs["doc_id"], text.alias("text"))
-    chosen = plain.join(long.hint("shuffle_hash"), plain["doc_id"].eqNullSafe(long["r_id"]) & (F.unhex(F.sha2("text", 256)) == F.col("r_sha")))
-    by_class = chosen.select("cls", F.col("text").cast("binary").alias("text")).repartition("cls")
+    key = F.coalesce(docs["doc_id"], F.xxhash64(text))
+    keyed, _ = stage_table(docs.select("doc_id", key.alias("doc"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha")), "texts")
+    # A class of equal texts is named by the smallest key of its rows, and by nth where classes share that.
+    first = keyed.groupBy("sha").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.max("n_bytes").alias("size"))
+    nth = F.row_number().over(Window.partitionBy("doc").orderBy("sha")) - 1
+    classes, _ = stage_table(first.withColumn("nth", nth.cast("long")), "text-classes")
+
+    # The texts go out once, by key: this exchange is used three times below. So each join is on the key
+    # alone, and what tells the texts of one key apart is compared afterwards.
+    by_key = docs.select(key.alias("doc"), text.alias("text")).repartition("doc")
+    named = classes.where(F.col("size") >= length).select(F.col("doc").alias("c_doc"), "nth", F.col("sha").alias("c_sha"))
+    chosen = by_key.join(named.hint("shuffle_hash"), F.col("doc") == F.col("c_doc")).where(F.startswith(F.sha2("text", 256), F.col("c_sha")))
+    chosen = chosen.select("doc", "nth", F.col("text").cast("binary").alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, h, p, lo, hi = anchors(b.column("text").to_pylist(), length, gram)
-            cls = b.column("cls").to_numpy(zero_copy_only=False)[doc]
-            cols = [h.view(np.int64), cls, p, lo, hi + length]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["h", "cls", "pos", "first", "until"])
+            row, h, p, low, high = anchors(b.column("text").to_pylist(), length, gram)
+            doc, n = (b.column(c).to_numpy(zero_copy_only=False)[row] for c in ("doc", "nth"))
+            code = (p * length + (p - low)) * length + (high - low)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (h.view(np.int64), doc, n, code)], ["h", "doc", "nth", "code"])
 
-    found = by_class.mapInArrow(find, "h long, cls long, pos long, first long, until long").repartition("h")
-    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    candidates = found.join(again, "h", "left_semi").groupBy("cls").agg(F.collect_list(F.struct("pos", "first", "until")).alias("own"))
+    found = chosen.mapInArrow(find, "h long, doc long, nth long, code long")
+    again = found.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
+    candidates = again.groupBy(F.col("doc").alias("a_doc")).agg(F.collect_list(F.struct("nth", "code")).alias("all"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return map(_context_batch, batches)
+        return (_context_batch(b, length) for b in batches)
 
-    schema = "lead binary, context binary, back int, members array<struct<cls:long,pos:long>>"
-    suffixes = by_class.join(candidates.hint("shuffle_hash"), "cls").select("cls", "text", "own").mapInArrow(contexts, schema)
+    own = F.transform(F.filter("all", lambda x: x["nth"] == F.col("nth")), lambda x: x["code"])
+    asked = chosen.join(candidates.hint("shuffle_hash"), F.col("doc") == F.col("a_doc")).select("doc", "nth", "text", own.alias("own"))
+    suffixes = asked.mapInArrow(contexts, "lead binary, context binary, back int, members array<struct<doc:long,nth:long,pos:long>>")
     buckets = suffixes.repartitionByRange("lead").sortWithinPartitions("lead")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         lead = None
         for b in batches:
-            for key, context, back, members in zip(*(b.column(c).to_pylist() for c in ("lead", "context", "back", "members")), strict=True):
-                if key != lead and len(held) >= _ROWS_AT_ONCE:
+            for start, context, back, members in zip(*(b.column(c).to_pylist() for c in ("lead", "context", "back", "members")), strict=True):
+                if start != lead and len(held) >= _ROWS_AT_ONCE:
                     yield _bucket(held, length, gram)
                     held = []
-                lead = key
+                lead = start
                 held.append((context, back, members))
         if held:
             yield _bucket(held, length, gram)
 
-    spans = buckets.mapInArrow(compare, "cls long, start long, end long").groupBy("cls").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = buckets.mapInArrow(compare, "doc long, nth long, start long, end long")
+    spans = spans.groupBy(F.col("doc").alias("a_doc")).agg(F.collect_list(F.struct("nth", "start", "end")).alias("all"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            merged = [_merge([(s["start"], s["end"]) for s in own]) for own in b.column("spans").to_pylist()]
+            merged = [_merge([(s["start"], s["end"]) for s in own]) for own in b.column("own").to_pylist()]
             kept = []
             for data, own in zip(b.column("text").to_pylist(), merged, strict=True):
                 digest, at = hashlib.sha256(), 0
@@ -307,18 +319,20 @@ def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 64) -> DataFr
                     at = y
                 digest.update(data[at:])
                 kept.append(digest.hexdigest())
-            cols = [b.column("cls"), pa.array([[{"start": x, "end": y} for x, y in own] for own in merged], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, ["cls", "cut", "kept"])
+            runs = pa.array([[{"start": x, "end": y} for x, y in own] for own in merged], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("nth"), runs, pa.array(kept, pa.string())], ["doc", "nth", "cut", "kept"])
 
-    cuts = by_class.join(spans.hint("shuffle_hash"), "cls").select("cls", "text", "spans").mapInArrow(cut, "cls long, cut array<struct<start:long,end:long>>, kept string")
+    mine = F.filter("all", lambda x: x["nth"] == F.col("nth"))
+    cuts = chosen.join(spans.hint("shuffle_hash"), F.col("doc") == F.col("a_doc")).select("doc", "nth", "text", mine.alias("own"))
+    cuts = cuts.mapInArrow(cut, f"doc long, nth long, cut {_SPANS}, kept string").withColumnsRenamed({"doc": "x_doc", "nth": "x_nth"})
     # A class with copies needs no cut: all of it goes, and rows that repeat one id would cut it twice.
-    single = (classes["cls"] == cuts["cls"]) & (classes["copies"] == 1)
+    single = (F.col("doc") == F.col("x_doc")) & (F.col("nth") == F.col("x_nth")) & (F.col("copies") == 1)
     known = classes.join(cuts, single, "left").select("sha", "copies", "cut", "kept")
     joined = keyed.join(known, "sha")
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
-    removed = F.when(copied, whole).otherwise(F.coalesce("cut", F.array().cast("array<struct<start:long,end:long>>")))
-    kept = F.when(copied, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", F.lower(F.hex("sha"))))
+    removed = F.when(copied, whole).otherwise(F.coalesce("cut", F.array().cast(_SPANS)))
+    kept = F.when(copied, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "sha"))
     out = joined.select("doc_id", "n_bytes", removed.alias("spans"), kept.alias("kept_sha256"))
     n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), "spans", "kept_sha256")
