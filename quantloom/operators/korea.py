@@ -145,9 +145,9 @@ class Rules:
 
 
 def rank_monthly(features: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Names with history and a 20-row return in a rising market, by the five-term score; ties by dollar volume."""
+    """Names with history and returns, by the five-term score; ties by dollar volume."""
     fit = with_history(features, rules.min_history).join(month_ends(features), "date", "left_semi")
-    fit = fit.where("enough_history and ret_20 is not null and ret_5 is not null and vol_20 is not null and market_trend_ok > 0")
+    fit = fit.where("enough_history and ret_20 is not null and ret_5 is not null and vol_20 is not null")
     day = Window.partitionBy("date")
     terms = {"ret_20": 1.0, "ret_5": 0.35, "vol_20": -0.25, "earnings_filing_count_60": 0.30, "capital_event_count_60": -0.20}
     score = sum((zscore(F.col(c), day) * k for c, k in terms.items()), F.lit(0.0))

@@ -202,7 +202,7 @@ def _kz(x: str) -> str:
 
 @query("q37_kr_selection", with_tables(f"""SELECT date, ticker, rank, round(score, 6) AS score, round(1e0 / count(*) OVER (PARTITION BY date), 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, avg_dollar_volume_20 DESC, ticker) AS rank FROM (
     SELECT date, ticker, avg_dollar_volume_20, {_kz('ret_20')} * 1e0 + {_kz('ret_5')} * 0.35e0 + {_kz('vol_20')} * -0.25e0 + {_kz('earnings_filing_count_60')} * 0.30e0 + {_kz('capital_event_count_60')} * -0.20e0 AS score FROM (
-        SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k FROM kr_f) WHERE k >= 10 AND date IN (SELECT max(date) FROM kr_prices GROUP BY date_trunc('month', date)) AND ret_20 IS NOT NULL AND ret_5 IS NOT NULL AND vol_20 IS NOT NULL AND market_trend_ok > 0)) WHERE rank <= 3""", **_KR))
+        SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k FROM kr_f) WHERE k >= 10 AND date IN (SELECT max(date) FROM kr_prices GROUP BY date_trunc('month', date)) AND ret_20 IS NOT NULL AND ret_5 IS NOT NULL AND vol_20 IS NOT NULL)) WHERE rank <= 3""", **_KR))
 def q37_kr_selection(spark, sf_dir):
     return rounded(korea.rank_monthly(_kr_features(spark, sf_dir), korea.Rules(3, 10)))
 
