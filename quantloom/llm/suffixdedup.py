@@ -280,8 +280,11 @@ def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 64) -> DataFr
             code = (p * length + (p - low)) * length + (high - low)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (h.view(np.int64), doc, n, code)], ["h", "doc", "nth", "code"])
 
+    # Counted before the shuffle, and joined so that Spark can split the rows of a very common gram.
     found = chosen.mapInArrow(find, "h long, doc long, nth long, code long")
-    again = found.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
+    common = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    common = common.repartition("h", F.lit(0))  # so that both sides of the join have an exchange of their own, as a skewed join needs
+    again = found.join(common, "h", "left_semi")
     candidates = again.groupBy(F.col("doc").alias("a_doc")).agg(F.collect_list(F.struct("nth", "code")).alias("all"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
