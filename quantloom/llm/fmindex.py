@@ -124,7 +124,7 @@ class FMIndex:
         rank[gaps] = np.arange(len(gaps))
         step = 1
         while True:
-            key = rank * (n + len(gaps) + 2)
+            key = rank * (int(rank.max()) + 2)
             key[:-step] += rank[step:] + 1
             order = np.argsort(key, kind="stable")
             ranked = key[order]

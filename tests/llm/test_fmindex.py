@@ -49,6 +49,20 @@ def test_against_brute_force(spark):
             assert words(left) == [w for k, w in enumerate(words(text)) if k not in set(hit)]
 
 
+def test_each_document_alone_gives_what_all_together_give():
+    """A shard with fewer words than the benchmark has different ones."""
+    rng = random.Random(9)
+    wide = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(rng.choice(wide) for _ in range(30)).encode()) for i in range(40)]
+    texts = [b" x ".join(rng.choice(items)[1][: rng.randint(40, 200)] for _ in range(rng.randint(0, 2))) for _ in range(40)]
+    phrases = fmindex.Phrases.of(items, 10)
+    whole = fmindex.search_shard(texts, phrases)
+    want = [(n, hit, found) for _, n, hit, found in brute([(i, t.decode()) for i, t in enumerate(texts)], [(i, t.decode()) for i, t in items])]
+    assert [(n, [k for a, b in s for k in range(a, b)], i) for n, s, i in whole] == want
+    assert [fmindex.search_shard([t], phrases)[0] for t in texts] == whole
+    assert any(s for _, s, _ in whole)
+
+
 def test_small_blocks_and_samples_agree():
     rng = random.Random(8)
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 200))).encode() for _ in range(30)]
