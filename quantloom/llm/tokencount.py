@@ -115,10 +115,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     plain = narrowed(docs, "doc_id", "text")
     keyed, _ = stage_table(plain.select("doc_id", digest.alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")), "digests")
 
-    missing = keyed.join(read_cache(spark, cache_path, version), "digest", "left_anti")
-    # One row to encode for each digest; the text itself is dealt by doc_id, which copies do not share.
-    ask = missing.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("r"))
-    ask = ask.select(F.col("r.doc_id").alias("ask_id"), "digest")
+    # One row to encode for each digest, found before any copies meet; the text itself is dealt by
+    # doc_id, which copies do not share.
+    ask = keyed.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("r"))
+    ask = ask.join(read_cache(spark, cache_path, version), "digest", "left_anti").select(F.col("r.doc_id").alias("ask_id"), "digest")
     misses = plain.join(ask.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("ask_id")) & (digest == F.col("digest"))).select("digest", text.alias("text"))
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -127,5 +127,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
 
     counted = misses.mapInArrow(arrow_map(encode), "digest binary, n_tokens long")
     counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
-    known = read_cache(spark, cache_path, version)
+    # Written first, so that the join below is on two plain exchanges, whose hot digests Spark can split.
+    known, _ = stage_table(read_cache(spark, cache_path, version), "token-counts")
     return keyed.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
