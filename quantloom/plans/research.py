@@ -51,8 +51,14 @@ def short_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.signals(spark, sf_dir).where("horizon_bucket = 'short'")
 
 
+def selection_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that a selection reads; written once, since ranking, spine and month ends each read them."""
+    needed = ("date", "ticker", "close", "ret_20", "ret_60", "vol_20", "trend_ok", "eligible_universe")
+    return stage_table(all_features(spark, sf_dir).select(*needed), "features")[0]
+
+
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strategy.target_weights(all_features(spark, sf_dir), PICK, short_scores(spark, sf_dir))
+    return strategy.target_weights(selection_frame(spark, sf_dir), PICK, short_scores(spark, sf_dir))
 
 
 def backtest_days(spark: SparkSession, sf_dir: str) -> DataFrame:
