@@ -20,7 +20,7 @@ from quantloom.shared import new_path, stage_table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the additive model scores 0.3 or more."""
     model = gam.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), max_labelled=20_000)
-    return gam.score_documents(docs, model).where(F.col("score") >= 0.3).select(*docs.columns)
+    return gam.score_documents(docs, model, "__quality").where(F.col("__quality") >= 0.3).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -328,7 +328,9 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 1
     Documents without a hit stay as they are; those of which no word is left go.
     """
     columns = docs.columns
-    found = find_contamination(docs, benchmark, window).where("n_words = 0 or size(hit_spans) = 0 or aggregate(hit_spans, 0L, (a, x) -> a + x.end - x.start) < n_words")
+    # Columns of these names, if there are any, step aside and come back.
+    own = {c: f"__own_{c}" for c in ("n_words", "hit_spans", "hit_items") if c in columns}
+    found = find_contamination(docs.withColumnsRenamed(own), benchmark, window).where("n_words = 0 or size(hit_spans) = 0 or aggregate(hit_spans, 0L, (a, x) -> a + x.end - x.start) < n_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -339,7 +341,7 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 1
                     if s:
                         text[i] = cut_spans(text[i].encode(), [(x["start"], x["end"]) for x in s]).decode()
                 b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(text, pa.string()))
-            yield b.select(columns)
+            yield b.select([own.get(c, c) for c in columns]).rename_columns(columns)
 
     out = found.mapInArrow(run, T.StructType([docs.schema[c] for c in columns]))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out

@@ -192,19 +192,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> Model
     return fit_model(np.array([r.x for r in got]).reshape(len(got), len(NAMES)), np.array([r.quality for r in got], float))
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column score from 0 to 1, higher where label 1 is likelier.
+def score_documents(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name`` from 0 to 1, higher where label 1 is likelier; it replaces one of that name.
 
     Null text counts as empty, and empty texts get a score too. Repeated rows
     and other columns stay as they are; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     bound_arrow_batches(spark)
+    docs = docs.drop(name)
     shared = spark.sparkContext.broadcast(model)  # some thousand numbers, whatever the input
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([text_numbers(t) for t in texts(b)]).reshape(b.num_rows, len(NAMES))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(x), pa.float64())], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(x), pa.float64())], [*b.schema.names, name])
 
-    return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -79,7 +79,9 @@ def test_empty_tables(spark):
 
 
 def test_cutting_keeps_clean_rows_and_drops_what_is_all_benchmark(spark):
-    docs = spark.createDataFrame([(1, "keep  this, as it is"), (2, "x y z"), (3, "start x y z end"), (4, None)], "doc_id long, text string").selectExpr("*", "cast(length(text) as bigint) n_chars")
+    docs = spark.createDataFrame([(1, "keep  this, as it is"), (2, "x y z"), (3, "start x y z end"), (4, None)], "doc_id long, text string").selectExpr("*", "cast(length(text) as bigint) n_chars", "'k' as hit_items")
     bench = spark.createDataFrame([(1, "X y, z")], "item_id long, text string")
-    got = {(r.doc_id, r.text, r.n_chars) for r in fmindex.without_contamination(docs, bench).collect()}
+    rows = fmindex.without_contamination(docs, bench).collect()
+    assert {r.hit_items for r in rows} == {"k"}
+    got = {(r.doc_id, r.text, r.n_chars) for r in rows}
     assert got == {(1, "keep  this, as it is", 20), (3, "start end", 9), (4, None, None)}

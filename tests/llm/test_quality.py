@@ -87,3 +87,5 @@ def test_constant_without_both_kinds(spark, labels):
     model = gam.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
     assert len({r.score for r in gam.score_documents(docs, model).collect()}) == 1
     assert gam.score_documents(docs.limit(0), model).count() == 0
+    clash = gam.score_documents(docs.selectExpr("*", "'x' as score"), model)
+    assert clash.columns == ["doc_id", "text", "score"] and dict(clash.dtypes)["score"] == "double"
