@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of close fingerprints."""
-    return simhash.one_of_each(docs, words=3, seed=42, distance=3, blocks=6)
+    """One document of each group of close fingerprints or of a five-word Jaccard similarity of 0.8 or more."""
+    return simhash.one_of_each(docs, words=3, seed=42, distance=3, blocks=6, similarity=0.8, shingle=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

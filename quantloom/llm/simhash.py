@@ -16,6 +16,7 @@ member is bounded whatever the bucket's size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations, repeat
 
 import numpy as np
@@ -24,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.llm import jaccard
 from quantloom.llm.columns import arrow_map, texts
 from quantloom.llm.components import connected_components
 from quantloom.shared import bound_arrow_batches, stage_table
@@ -157,11 +159,20 @@ def near_links(fps: DataFrame, distance: int = 3, blocks: int = 6) -> DataFrame:
     return dealt.mapInArrow(_links_of_sorted(masks, distance), "a long, b long")
 
 
-def _with_lowest(docs: DataFrame, words: int, seed: int, distance: int, blocks: int) -> tuple[DataFrame, DataFrame]:
-    """The fingerprints, and (fp, low): low is the first row of the fingerprint's component as (no id, doc_id, tie)."""
-    fps, _ = stage_table(fingerprints(docs, words, seed), "simhash")
+def _with_lowest(docs: DataFrame, words: int, seed: int, distance: int, blocks: int, similarity: float | None = None, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints, and (fp, low): low is the first row of the fingerprint's component as (no id, doc_id, tie).
+
+    With ``similarity``, texts with that Jaccard similarity of their shingles of ``shingle`` words are linked as well.
+    """
+    if similarity is None:
+        fps, _ = stage_table(fingerprints(docs, words, seed), "simhash")
+    else:
+        fps, _ = stage_table(jaccard.sketches(docs, partial(fingerprint, words=words, seed=seed), shingle), "simhash")
     each = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("low"))
-    links, _ = stage_table(near_links(fps, distance, blocks).distinct(), "simhash-links")
+    found = near_links(fps, distance, blocks)
+    if similarity is not None:
+        found = found.unionAll(jaccard.similar_links(docs, fps, similarity, shingle))
+    links, _ = stage_table(found.distinct(), "simhash-links")
     roots = connected_components(links)
     rooted = each.join(roots, each.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("low"))
@@ -180,13 +191,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, distance: i
     return fps.join(known, "fp").select("doc_id", "fp", F.col("low.doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, words: int = 3, seed: int = 42, distance: int = 3, blocks: int = 6) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 3, seed: int = 42, distance: int = 3, blocks: int = 6, similarity: float | None = None, shingle: int = 5) -> DataFrame:
     """``docs`` with one row of each component of near_duplicates: that with the smallest doc_id.
 
+    With ``similarity``, texts with that Jaccard similarity of their shingles of ``shingle`` words are in one component too.
     Of rows that share that doc_id, one text stays, and of wholly equal rows
     one; rows without a doc_id stay only if their component has no other.
     """
-    _, known = _with_lowest(docs, words, seed, distance, blocks)
+    _, known = _with_lowest(docs, words, seed, distance, blocks, similarity, shingle)
     kept = known.select("low.*").distinct().select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"))
     tie = F.xxhash64(docs["text"])
     stay = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__id")) & (tie == F.col("__tie")), "left_semi")
