@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import r6, rounded_to
@@ -234,11 +234,10 @@ def _network(name: str, kind: str):
         frame = models.sequences(_learning(spark, sf_dir), _SEQUENCE, 10)
         from quantloom.functions.windows import month_ends
 
-        # The last three usable month ends: each is a model of its own.
-        last = Window.orderBy(F.col("rebalance_date").desc())
-        bounds = research.split_bounds(frame, month_ends(frame), CONFIG).where("usable").withColumn("k", F.row_number().over(last)).where("k <= 3")
+        # Each usable month end is a model of its own.
+        bounds = research.split_bounds(frame, month_ends(frame), CONFIG).where("usable")
         usable = frame.where("eligible_universe and enough_history and has_training_label")
-        return models.network_predictions(usable, bounds, kind, frame.where("eligible_universe and enough_history"), epochs=8, clip=0.95)
+        return models.network_predictions(usable, bounds, kind, frame.where("eligible_universe and enough_history"), clip=0.95)
 
 
 for _q, _k in (("q10_mlp", "mlp"), ("q11_tcn", "tcn"), ("q12_hybrid", "hybrid"), ("q13_lstm", "lstm"), ("q14_transformer", "transformer")):
