@@ -12,6 +12,7 @@ from quantloom.plans.research import ORACLE_SQL as _PARENT_SQL
 from quantloom.plans.research import QUERIES as _PARENT
 from quantloom.plans.sql import with_tables
 from quantloom.plans.textlane import _KR, _kr_features
+from quantloom.shared import stage_table
 from quantloom.sources import panel
 
 _BEFORE = set(_PARENT)
@@ -227,22 +228,36 @@ def t5_portfolio_order(spark, sf_dir):
 
 @query("q9_gradient_trees")
 def q9_gradient_trees(spark, sf_dir):
-    """Boosted trees on the learning frame's last usable split, stopped early on its validation part."""
+    """Boosted trees for each usable split of the learning frame, each stopped early on its validation part."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     from quantloom.functions.windows import month_ends
     from quantloom.plans.trading import CONFIG, PICK
 
-    frame = research.learning_frame(all_features(spark, sf_dir), CONFIG, PICK.min_history)
-    last = research.split_bounds(frame, month_ends(frame), CONFIG).where("usable").orderBy(F.col("rebalance_date").desc()).limit(1)
-    usable = frame.where("eligible_universe and enough_history and has_model_features and has_training_label")
-    train = usable.join(F.broadcast(last), F.col("label_available_date") < F.col("cutoff")).withColumn("validation", F.col("date") >= F.col("validation_start"))
-    live = frame.where("eligible_universe and enough_history and has_model_features").join(F.broadcast(last), F.col("date") == F.col("rebalance_date"))
+    frame, _ = stage_table(research.learning_frame(all_features(spark, sf_dir), CONFIG, PICK.min_history), "trees-frame")
+    bounds = research.split_bounds(frame, month_ends(frame), CONFIG).where("usable").orderBy("rebalance_date").collect()
     vectors = VectorAssembler(inputCols=list(CONFIG.columns), outputCol="x")
+    fit = frame.where("eligible_universe and enough_history and has_model_features")
+    rows, _ = stage_table(vectors.transform(fit).select("date", "ticker", "x", "future_return", "label_available_date", "has_training_label"), "trees-rows")
     trees = GBTRegressor(featuresCol="x", labelCol="future_return", validationIndicatorCol="validation", maxIter=10, maxDepth=3, stepSize=0.05, minInstancesPerNode=20, seed=7)
-    fitted = trees.fit(vectors.transform(train).select("x", "future_return", "validation"))
-    return fitted.transform(vectors.transform(live)).select("date", "ticker", F.col("prediction").alias("predicted_return"))
+
+    def one(split) -> str | None:
+        live = rows.where(F.col("date") == F.lit(split.rebalance_date))
+        if live.isEmpty():
+            return None
+        train = rows.where(F.col("has_training_label") & (F.col("label_available_date") < F.lit(split.cutoff))).withColumn("validation", F.col("date") >= F.lit(split.validation_start))
+        fitted = trees.copy().fit(train.select("x", "future_return", "validation"))
+        return stage_table(fitted.transform(live).select("date", "ticker", F.col("prediction").alias("predicted_return")), "trees-predicted")[1]
+
+    # A model is a few small jobs, so several splits run at once.
+    with ThreadPoolExecutor(8) as pool:
+        paths = [p for p in pool.map(inheritable_thread_target(spark)(one), bounds) if p is not None]
+    out = "date date, ticker string, predicted_return double"
+    return spark.read.schema(out).parquet(*paths) if paths else spark.createDataFrame([], out)
 
 
 @query("q38_kr_backtest", with_tables("SELECT date, round(ret_1, 6) AS ret_1, ticker FROM kr_p WHERE ret_1 IS NOT NULL", **_KR))

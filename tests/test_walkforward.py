@@ -27,3 +27,9 @@ def test_networks_fit_every_usable_date_with_early_stopping(spark, monkeypatch):
             assert len(_usable(spark)) > 3
             assert _usable(spark) <= {r.date for r in got.select("date").distinct().collect()}
     assert len(asked) == 5 and not any("epochs" in o for o in asked.values())
+
+
+def test_trees_fit_every_usable_date(spark):
+    got = registry.QUERIES["q9_gradient_trees"](spark, SF)
+    assert got.columns == ["date", "ticker", "predicted_return"]
+    assert {r.date for r in got.select("date").distinct().collect()} == _usable(spark)
