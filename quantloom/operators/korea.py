@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import by_ticker, change, forward_fill, keep_last, month_ends, rolling, zscore
+from quantloom.operators.backtest import Costs, run
 from quantloom.operators.strategy import hold, top_n, with_history
 
 # The first class one of whose patterns a filing's upper-cased text contains.
@@ -158,6 +159,12 @@ def target_weights(features: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return hold(rank_monthly(features, rules), features, rules.hold_between_rebalances)
 
 
+def research_backtest(prices: DataFrame, filings: DataFrame | None = None, benchmark: DataFrame | None = None, rules: Rules = Rules(hold_between_rebalances=True), costs: Costs = Costs()) -> DataFrame:
+    """One row a date: the backtest, with costs, of the weights that the features of these bars and filings give."""
+    weights = target_weights(build_features(prices, filings, benchmark), rules)
+    return run(prices.withColumn("ticker", F.upper("ticker")), weights, costs, benchmark)
+
+
 CHART = "struct<chart:struct<result:array<struct<timestamp:array<bigint>,indicators:struct<quote:array<struct<open:array<double>,high:array<double>,low:array<double>,close:array<double>,volume:array<double>>>,adjclose:array<struct<adjclose:array<double>>>>,meta:struct<exchangeTimezoneName:string,currency:string>>>>>"
 
 

@@ -11,7 +11,7 @@ from quantloom.plans.research import COSTS, all_features, backtest_days, query,
 from quantloom.plans.research import ORACLE_SQL as _PARENT_SQL
 from quantloom.plans.research import QUERIES as _PARENT
 from quantloom.plans.sql import with_tables
-from quantloom.plans.textlane import _KR, _kr_features
+from quantloom.plans.textlane import _KR, _kr_bars, _kr_features, _kr_filings, _kz
 from quantloom.shared import stage_table
 from quantloom.sources import panel
 
@@ -265,6 +265,32 @@ def q38_kr_backtest(spark, sf_dir):
     return rounded(_kr_features(spark, sf_dir).where("ret_1 is not null").select("date", "ret_1", "ticker"))
 
 
+_KR_RUN = {
+    "kr_ends": "SELECT max(date) AS date FROM kr_prices GROUP BY date_trunc('month', date)",
+    "kr_scored": f"""SELECT date, ticker, avg_dollar_volume_20, {_kz('ret_20')} * 1e0 + {_kz('ret_5')} * 0.35e0 + {_kz('vol_20')} * -0.25e0 + {_kz('earnings_filing_count_60')} * 0.30e0 + {_kz('capital_event_count_60')} * -0.20e0 AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k FROM kr_f) WHERE k >= 10 AND date IN (SELECT date FROM kr_ends) AND ret_20 IS NOT NULL AND ret_5 IS NOT NULL AND vol_20 IS NOT NULL""",
+    "kr_picked": """SELECT date, ticker, 1e0 / count(*) OVER (PARTITION BY date) AS weight FROM (
+        SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, avg_dollar_volume_20 DESC, ticker) AS rank FROM kr_scored) WHERE rank <= 3""",
+    "kr_grid": """SELECT d.date, t.ticker, p.close, CASE WHEN d.date IN (SELECT date FROM kr_ends) THEN coalesce(s.weight, 0) END AS given
+        FROM (SELECT DISTINCT date FROM kr_prices) d CROSS JOIN (SELECT DISTINCT ticker FROM kr_prices) t
+        LEFT JOIN kr_prices p ON p.date = d.date AND p.ticker = t.ticker LEFT JOIN kr_picked s ON s.date = d.date AND s.ticker = t.ticker""",
+    "kr_held": """SELECT date, ticker, coalesce(last_value(given IGNORE NULLS) OVER o, 0) AS weight, last_value(close IGNORE NULLS) OVER o AS padded
+        FROM kr_grid WINDOW o AS (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING)""",
+    "kr_moves": """SELECT date, weight, lag(weight, 1, 0) OVER o AS live, coalesce(padded / nullif(lag(padded) OVER o, 0) - 1, 0) AS ret
+        FROM kr_held WINDOW o AS (PARTITION BY ticker ORDER BY date)""",
+    "kr_daily": "SELECT date, sum(live * ret) AS gross_return, sum(abs(weight - live)) AS turnover FROM kr_moves GROUP BY date",
+    "kr_bench_ret": "SELECT date, coalesce(close / nullif(lag(close) OVER (ORDER BY date), 0) - 1, 0) AS benchmark_return FROM kr_bench",
+}
+
+
+@query("q38_kr_research_backtest", with_tables("""SELECT date, round(gross_return, 6) AS gross_return, round(gross_return - turnover * 0.0015e0, 6) AS net_return, round(turnover, 6) AS turnover, round(turnover * 0.001e0, 6) AS linear_cost,
+    round(turnover * 0.0005e0, 6) AS spread_cost, round(coalesce(benchmark_return, 0), 6) AS benchmark_return FROM kr_daily LEFT JOIN kr_bench_ret USING (date)""", **_KR, **_KR_RUN))
+def q38_kr_research_backtest(spark, sf_dir):
+    costs = backtest.Costs(transaction_bps=10, spread_bps=5)
+    days = korea.research_backtest(_kr_bars(spark, sf_dir, "ticker"), _kr_filings(spark, sf_dir), _kr_bars(spark, sf_dir), korea.Rules(3, 10, True), costs)
+    return rounded(days.drop("impact_cost", "max_participation"))
+
+
 @query("q32_compare_summaries", with_tables("SELECT CAST(year(date) AS INT) AS year, round(sum(gross_return), 6) AS gross, round(sum(net_return), 6) AS net, round(sum(gross_return) - sum(net_return), 6) AS drag FROM bt GROUP BY 1"))
 def q32_compare_summaries(spark, sf_dir):
     days = backtest_days(spark, sf_dir)
