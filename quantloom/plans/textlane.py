@@ -132,7 +132,7 @@ def x2_html_text(spark, sf_dir):
 def q24_scoring_documents(spark, sf_dir):
     """Sections of filings that are wrapped around the documents; lookahead patterns, so rows only."""
     docs = _docs(spark, sf_dir)
-    body = F.concat(F.lit("Item 2.02 Results. "), "text", F.lit(" Item 7.01 Other. "), F.left("text", F.lit(400)), F.lit(" SIGNATURES"))
+    body = F.concat(F.lit("Item 2.02 Results. "), "text", F.lit(" Item 7.01 Other. "), "text", F.lit(" SIGNATURES"))
     filings = docs.select(F.lit("2000-01-03").cast("date").alias("date"), F.col("source").alias("ticker"), F.lit("8-K").alias("form"), F.lit("2.02, 7.01").alias("items"), F.col("doc_id").cast("string").alias("accession_number"), body.alias("raw_text"))
     return text.scoring_documents(filings)
 

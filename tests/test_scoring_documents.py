@@ -1,0 +1,10 @@
+"""Both sections of the wrapped filings hold the whole text."""
+
+from pyspark.sql import functions as F
+from quantloom.plans import registry
+
+
+def test_second_section_is_as_long_as_the_first(spark):
+    rows = registry.QUERIES["q24_scoring_documents"](spark, "/root/testdata/sf0.001")
+    longest = {r.section_type: r.n for r in rows.groupBy("section_type").agg(F.max(F.char_length("text")).alias("n")).collect()}
+    assert longest["item_7_01"] > 10_000 and abs(longest["item_7_01"] - longest["item_2_02"]) < 50
