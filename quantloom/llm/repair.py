@@ -13,13 +13,10 @@ the order, n_docs and n_tokens are read without the payload.
 
 from __future__ import annotations
 
-import os
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.columns import narrowed
+from quantloom.llm.encoder import _gather, encoder
 from quantloom.shared import bound_arrow_batches, stage_table
 
-MAGIC = b"RPR1"
-_HEAD = struct.Struct("<4sIQQQQB")
+MAGIC = b"RPR2"
+_HEAD = struct.Struct("<4sIQQQQBB")
 
 
 # --- the grammar -----------------------------------------------------------
@@ -46,105 +44,168 @@ class Grammar:
     sequence: np.ndarray
 
 
-def _runs_alternate(at: np.ndarray) -> np.ndarray:
-    """Of ascending positions, the first, third, ... of every run of neighbours."""
-    new = np.concatenate([[True], np.diff(at) != 1])
-    start = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-    return at[(np.arange(len(at)) - start) % 2 == 0]
+#: Stands where a symbol was taken by its neighbour's rule, and beyond the last symbol.
+_GONE = np.uint32(0xFFFFFFFF)
 
 
-def compress(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = 7, least: int = 4, rules_a_round: int = 3000, most_rules: int = 16_000, saving: float = 0.005) -> Grammar:
+def _grouped(key: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys that ``least`` positions or more have: (key, how many, their ascending positions)."""
+    if not len(key):
+        return key, np.empty(0, np.int64), at
+    bits = max(int(at[-1]).bit_length(), 1)
+    if int(key.max()).bit_length() + bits <= 64:  # one sort of both in one number
+        both = (key << np.uint64(bits)) | at.view(np.uint64)
+        both.sort()
+        key, at = both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).view(np.int64)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    count = np.diff(first, append=len(key))
+    use = count >= least
+    return key[first[use]], count[use], at[np.repeat(use, count)]
+
+
+def _picks(at: np.ndarray, rank: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Which pairs at the ascending positions ``at`` to replace: no two share a symbol, and none that could be is left out.
+
+    Where two share one the lower rank goes first, and every second of a run of
+    one pair; after three turns what is left goes from left to right.
+    """
+    out = np.ones(len(at), bool)
+    meets = after[:-1] == at[1:]
+    out[1:] &= ~meets
+    out[:-1] &= ~meets
+    i, turn = np.flatnonzero(~out), 0
+    while len(i):
+        meets = after[i[:-1]] == at[i[1:]]
+        lose = np.zeros(len(i), bool)
+        if turn < 3:
+            lose[1:] |= meets & (rank[i[:-1]] < rank[i[1:]])
+            lose[:-1] |= meets & (rank[i[1:]] < rank[i[:-1]])
+        chain = np.concatenate([[False], meets & ~lose[1:] & ~lose[:-1]])
+        place = np.arange(len(i))
+        pick = ~lose & ((place - np.maximum.accumulate(np.where(chain, 0, place))) % 2 == 0)
+        out[i[pick]] = True
+        gone = pick.copy()
+        gone[1:] |= meets & pick[:-1]
+        gone[:-1] |= meets & pick[1:]
+        i, turn = i[~gone], turn + 1
+    return out
+
+
+def symbol_room(base: int) -> int:
+    """How many rules a shard has room for: symbols have 16 bits where that leaves 4,096 rules or more, else 32."""
+    return (1 << 16) - base if base <= (1 << 16) - 4096 else (1 << 31) - base
+
+
+def compress(ids: np.ndarray, last: np.ndarray, base: int, least: int = 4, falloff: float = 0.35) -> Grammar:
     """Re-Pair over ``ids`` (all below ``base``); ``last`` marks ends of documents, which no rule crosses.
 
-    Stops after ``rounds`` rounds or ``most_rules`` rules, or when no pair
-    occurs ``least`` times, or when a round saves less than ``saving`` of the
-    sequence.
+    A rule costs two symbols and a length, and saves a symbol wherever it is
+    used, so it pays from ``least`` uses on. Ends when no pair is left that
+    would be used so often, or when ``symbol_room`` is full: another rule would
+    widen every symbol of the shard. Pairs are taken in turns, the most
+    frequent first: a turn takes all that occur at least ``falloff`` times as
+    often as the most frequent of the turn before. Positions of pairs are kept
+    in groups; a turn reads only the groups that may be frequent enough, and
+    new pairs are looked for only beside new symbols.
     """
-    seq, last = ids.astype(np.uint32), last.astype(bool)
-    left, right, n = [], [], base
-    slots = 1 << 20
-    for _ in range(rounds):
-        room = min(rules_a_round, most_rules - (n - base))
-        if len(seq) < 2 or room <= 0:
-            break
-        slot = ((seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(12)).astype(np.int64)
-        slot[np.flatnonzero(last[:-1])] = slots
-        many = np.bincount(slot, minlength=slots + 1)  # at least as many as the pair itself occurs
-        many[slots] = 0
-        at_least = np.cumsum(np.bincount(np.minimum(many, 1 << 16))[::-1])[::-1]  # slots that hold so many pairs or more
-        fewest = max(least, int(np.searchsorted(-at_least, -room, side="left")))
-        at = np.flatnonzero(many[slot] >= fewest)
-        if not len(at):
-            break
-        key = seq[at].astype(np.int64) << 32 | seq[at + 1]
-        _, which, count = np.unique(key, return_inverse=True, return_counts=True)
-        weight = np.zeros(len(seq) + 2, np.int64)
-        weight[at + 1] = count[which]  # shifted by one, so that both neighbours exist
-        best = (weight[at + 1] >= weight[at]) & (weight[at + 1] >= weight[at + 2]) & (count[which] >= least)
-        at = _runs_alternate(at[best]) if best.any() else at[:0]
-        key = seq[at].astype(np.int64) << 32 | seq[at + 1]
-        pairs, which, count = np.unique(key, return_inverse=True, return_counts=True)
-        use = count >= least
-        use[np.argsort(-count, kind="stable")[room:]] = False
-        if not use.any():
-            break
-        number = np.cumsum(use) - 1 + n
-        keep = use[which]
-        at, which = at[keep], which[keep]
-        left.append(pairs[use] >> 32)
-        right.append(pairs[use] & 0xFFFFFFFF)
-        n += int(use.sum())
-        seq[at] = number[which]
-        last[at] |= last[at + 1]
-        stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
-        done = len(at) < saving * len(seq)
-        seq, last = seq[stay], last[stay]
-        if done:
-            break
-    none = np.empty(0, np.int64)
-    return Grammar(base, np.concatenate([none, *left]), np.concatenate([none, *right]), seq.astype(np.int64))
-
-
-def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The slices [start, start + length) of ``flat``, one after another."""
-    total = int(length.sum())
-    shift = start - (np.cumsum(length) - length)
-    return flat[np.repeat(shift, length) + np.arange(total)]
+    n, room = len(ids), symbol_room(base)
+    shift = np.uint64(max(int(base + room - 1).bit_length(), 16))
+    low = np.uint64((1 << int(shift)) - 1)
+    # Position n is beyond: what follows a document's last symbol and precedes its first.
+    seq = np.append(ids.astype(np.uint32), _GONE)
+    following, preceding = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    ends = np.flatnonzero(last)
+    following[ends], preceding[ends + 1] = n, n
+    following[n] = preceding[0] = n
+
+    def keys(at: np.ndarray) -> np.ndarray:
+        return seq[at].astype(np.uint64) << shift | seq[following[at]]
+
+    at = np.flatnonzero(following[:-1] != n)
+    key, count, own = _grouped(keys(at), at, least)
+    start, filled = np.cumsum(count) - count, len(own)
+    pool = np.empty(filled + 2 * n, np.int32)  # each replacement ends a symbol and makes two pairs at most
+    pool[:filled] = own
+    left, right, made = [], [], 0
+    often = int(count.max()) if len(count) else 0
+    while len(count) and made < room:
+        often = max(least, min(int(often * falloff), int(count.max())))
+        some = np.flatnonzero(count >= often)
+        held, begin = count[some], start[some]
+        of = np.repeat(np.arange(len(some)), held)
+        at = pool[np.arange(len(of)) + np.repeat(begin - (np.cumsum(held) - held), held)].astype(np.int64)
+        a, b = (key[some] >> shift).astype(np.uint32), (key[some] & low).astype(np.uint32)
+        # A position is out of date where another rule has taken one of the pair's symbols.
+        live = (seq[at] == a[of]) & (seq[following[at]] == b[of])
+        at, of = at[live], of[live]
+        now = np.bincount(of, minlength=len(some))
+        pool[np.arange(len(of)) + np.repeat(begin - (np.cumsum(now) - now), now)] = at
+        count[some] = now
+        order = np.argsort(-now, kind="stable")
+        chosen = now >= often
+        chosen[order[room - made :]] = False
+        if chosen.any():
+            rank = np.empty(len(some), np.int64)
+            rank[order] = np.arange(len(some))
+            inside = chosen[of]
+            both = at[inside] << 31 | of[inside]
+            both.sort()
+            at, of = both >> 31, both & 0x7FFFFFFF
+            pick = _picks(at, rank[of], following[at])
+            used = np.bincount(of[pick], minlength=len(some))
+            count[some[chosen]] = 0  # either it becomes a rule, or too few of it would be used
+            ruled = chosen & (used >= least)
+            pick &= ruled[of]
+            at, of = at[pick], of[pick]
+            left.append(a[ruled])
+            right.append(b[ruled])
+            taken = following[at]
+            after = following[taken]
+            seq[at] = (np.cumsum(ruled) - 1 + base + made).astype(np.uint32)[of]
+            seq[taken] = _GONE
+            following[at], preceding[after] = after, at
+            before = preceding[at].astype(np.int64)
+            # A pair of two new symbols is found at the first of them.
+            beside = np.concatenate([at[after != n], before[(before != n) & (seq[before] < base + made)]])
+            beside.sort()
+            made += int(ruled.sum())
+            new_key, new_count, own = _grouped(keys(beside), beside, least)
+            pool[filled : filled + len(own)] = own
+            stay = count >= least
+            key, start = np.concatenate([key[stay], new_key]), np.concatenate([start[stay], filled + np.cumsum(new_count) - new_count])
+            count, filled = np.concatenate([count[stay], new_count]), filled + len(own)
+        else:
+            stay = count >= least
+            key, start, count = key[stay], start[stay], count[stay]
+    none = np.empty(0, np.uint32)
+    return Grammar(base, *(np.concatenate([none, *c]).astype(np.int64) for c in (left, right)), seq[seq != _GONE].astype(np.int64))
 
 
 class Expansions:
-    """What the rules expand to, as slices of one array."""
+    """What symbols expand to, as slices of one array: ids by themselves, then the rules."""
 
     def __init__(self, base: int, left: np.ndarray, right: np.ndarray, lengths: np.ndarray) -> None:
-        self.base = base
-        self.flat = np.empty(0, np.int64)
-        self.start = np.cumsum(lengths) - lengths
-        self.length = lengths
+        self.length = np.concatenate([np.ones(base, np.int64), lengths])
+        self.start = np.cumsum(self.length) - self.length
+        self.flat = np.empty(int(self.length.sum()), np.uint32)
+        self.flat[:base] = np.arange(base)
         k = 0
         while k < len(left):
             # Rules up to here refer to earlier ones only; take all that refer to nothing later than k.
             deep = np.maximum(left[k:], right[k:]) >= base + k
             end = k + int(deep.argmax()) if deep.any() else len(left)
             both = np.stack([left[k:end], right[k:end]], axis=1).ravel()
-            self.flat = np.concatenate([self.flat, self.of(both)])
+            own = self.of(both)
+            at = self.start[base + k]
+            self.flat[at : at + len(own)] = own
             k = end
 
-    def lengths_of(self, symbols: np.ndarray) -> np.ndarray:
-        out = np.ones(len(symbols), np.int64)
-        rule = symbols >= self.base
-        out[rule] = self.length[symbols[rule] - self.base]
-        return out
-
     def of(self, symbols: np.ndarray) -> np.ndarray:
         """The ids that the symbols expand to."""
-        length = self.lengths_of(symbols)
-        rule = symbols >= self.base
-        pool = np.concatenate([self.flat, symbols[~rule]])
-        start = np.empty(len(symbols), np.int64)
-        start[rule] = self.start[symbols[rule] - self.base]
-        start[~rule] = len(self.flat) + np.arange(int((~rule).sum()))
-        return _gather(pool, start, length)
+        return _gather(self.flat, self.start[symbols], self.length[symbols])
 
 
 def _rule_lengths(g: Grammar) -> np.ndarray:
@@ -162,27 +223,30 @@ def _rule_lengths(g: Grammar) -> np.ndarray:
 # --- the shard's bytes -----------------------------------------------------
 
 
+def _kind(wide: int) -> str:
+    return "<u4" if wide else "<u2"
+
+
 def pack_shard(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, base: int) -> bytes:
     """A shard of documents with these ids; every document has at least one."""
     last = np.zeros(len(ids), bool)
     last[np.cumsum(lengths) - 1] = True
     g = compress(ids, last, base)
     sizes = _rule_lengths(g)
-    wide = base + len(g.left) > 1 << 16
-    kind = "<u4" if wide else "<u2"
+    wide, long = base + len(g.left) > 1 << 16, bool(len(sizes)) and int(sizes.max()) >= 1 << 16
     # Where each document begins in the sequence: rules never cross documents.
     expanded = np.cumsum(np.where(g.sequence >= base, sizes[np.maximum(g.sequence - base, 0)], 1) if len(sizes) else np.ones(len(g.sequence), np.int64))
     begin = np.searchsorted(expanded, np.cumsum(lengths) - lengths, side="right")
     parts = [
-        _HEAD.pack(MAGIC, base, len(doc_ids), len(ids), len(g.left), len(g.sequence), wide),
+        _HEAD.pack(MAGIC, base, len(doc_ids), len(ids), len(g.left), len(g.sequence), wide, long),
         np.array([d is not None for d in doc_ids], np.uint8).tobytes(),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
         lengths.astype("<u4").tobytes(),
         begin.astype("<u4").tobytes(),
-        g.left.astype(kind).tobytes(),
-        g.right.astype(kind).tobytes(),
-        sizes.astype("<u4").tobytes(),
-        g.sequence.astype(kind).tobytes(),
+        g.left.astype(_kind(wide)).tobytes(),
+        g.right.astype(_kind(wide)).tobytes(),
+        sizes.astype(_kind(long)).tobytes(),
+        g.sequence.astype(_kind(wide)).tobytes(),
     ]
     return b"".join(parts)
 
@@ -191,7 +255,7 @@ class Shard:
     """Reads a shard's bytes; ``document`` decodes one without the others."""
 
     def __init__(self, payload: bytes) -> None:
-        magic, self.base, n, self.n_tokens, rules, symbols, wide = _HEAD.unpack_from(payload)
+        magic, self.base, n, self.n_tokens, rules, symbols, wide, long = _HEAD.unpack_from(payload)
         if magic != MAGIC:
             raise ValueError("not a token shard")
         at = _HEAD.size
@@ -202,147 +266,42 @@ class Shard:
             at += out.nbytes
             return out
 
-        kind = "<u4" if wide else "<u2"
         valid, raw = take("u1", n), take("<i8", n)
         self.doc_ids = [int(d) if v else None for d, v in zip(raw, valid, strict=True)]
         self.lengths = take("<u4", n).astype(np.int64)
-        self.begin = take("<u4", n).astype(np.int64)
-        left, right = take(kind, rules).astype(np.int64), take(kind, rules).astype(np.int64)
-        sizes = take("<u4", rules).astype(np.int64)
-        self.sequence = take(kind, symbols)
+        self.begin = np.append(take("<u4", n).astype(np.int64), symbols)
+        left, right = take(_kind(wide), rules).astype(np.int64), take(_kind(wide), rules).astype(np.int64)
+        sizes = take(_kind(long), rules).astype(np.int64)
+        self.sequence = take(_kind(wide), symbols)
         self.expansions = Expansions(self.base, left, right, sizes)
 
     def all_ids(self) -> np.ndarray:
-        return self.expansions.of(self.sequence.astype(np.int64))
+        return self.expansions.of(self.sequence)
 
     def document(self, k: int) -> np.ndarray:
-        end = self.begin[k + 1] if k + 1 < len(self.begin) else len(self.sequence)
-        return self.expansions.of(self.sequence[self.begin[k] : end].astype(np.int64))
-
-
-# --- encoding --------------------------------------------------------------
+        """The ids of document ``k`` alone."""
+        return self.expansions.of(self.sequence[self.begin[k] : self.begin[k + 1]])
 
-#: Words that a worker remembers at most; beyond that it forgets all and starts anew.
-_MEMORY = 900_000
-
-
-class _Numbers(dict):
-    """Numbers words in the order in which they are first asked for."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = k = len(self)
-        self.new.append(word)
-        return k
-
-
-class Encoder:
-    """Encodes as the library does, and remembers the ids of words.
-
-    A word is what stands between ASCII white space, which the tokenizers this
-    serves drop without looking across it. ASCII letters are lower-cased first,
-    as they do; a text where that could matter to composed characters, or that
-    may hold a special token, goes to the library whole. New words go there
-    many at a time, with a special token between them that marks the borders.
-    """
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.size = max(self.tokenizer.get_vocab_size(True), 2)
-        special = self.tokenizer.get_added_tokens_decoder()
-        self.marks = [t.content for t in special.values()]
-        self.border, self.between = min((k, t.content) for k, t in special.items() if t.special)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known = _Numbers()
-        self.flat = np.empty(1 << 20, np.int32)
-        self.used = self.learned = 0
-        self.start = np.empty(1 << 18, np.int64)
-        self.length = np.empty(1 << 18, np.int64)
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self) -> None:
-        words, self.known.new = self.known.new, []
-        if not words:
-            return
-        joined = [self.between.join(w.decode() for w in words[i : i + 256]) + self.between for i in range(0, len(words), 256)]
-        ids = np.fromiter(chain.from_iterable(self._encode(joined)), np.int32)
-        ends = np.flatnonzero(ids == self.border)
-        n = np.diff(ends, prepend=-1) - 1
-        k, total = self.learned, len(ids) - len(ends)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while k + len(words) > len(self.start):
-            self.start, self.length = (np.concatenate([a, np.empty_like(a)]) for a in (self.start, self.length))
-        self.flat[self.used : self.used + total] = ids[ids != self.border]
-        self.start[k : k + len(words)] = self.used + np.cumsum(n) - n
-        self.length[k : k + len(words)] = n
-        self.used += total
-        self.learned += len(words)
-
-    def _by_words(self, text: str) -> bytes | None:
-        """The text to cut to words, or None if only the library can tell."""
-        if any(m in text for m in self.marks) or "<|" in text:
-            return None
-        low = text.encode().lower()
-        if text.isascii():
-            return low
-        return low if unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low.decode()) else None
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after another, and how many each has."""
-        if len(self.known) > _MEMORY:
-            self._forget()
-        cut = [self._by_words(t) for t in texts]
-        words = [[] if c is None else c.split() for c in cut]
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
-        self._learn()
-        each = self.length[at]
-        lengths = np.zeros(len(texts), np.int64)
-        some = np.flatnonzero(counts)
-        if len(some):
-            lengths[some] = np.add.reduceat(each, (np.cumsum(counts) - counts)[some])
-        ids = _gather(self.flat, self.start[at], each)
-        whole = [i for i, c in enumerate(cut) if c is None]
-        if whole:
-            found = self._encode([texts[i] for i in whole])
-            ids = np.insert(ids, np.repeat(np.cumsum(lengths)[whole], [len(f) for f in found]), np.fromiter(chain.from_iterable(found), np.int32))
-            lengths[whole] = [len(f) for f in found]
-        return ids, lengths
-
-
-_loaded: dict[str, Encoder] = {}
-
-
-def _encoder(path: str) -> Encoder:
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
 
+# --- writing and reading ---------------------------------------------------
 
 SCHEMA = "part int, nth int, n_docs long, n_tokens long, payload binary"
 _ARROW = pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, shard_tokens: int = 1 << 20) -> None:
+#: Characters that are encoded at a time: runs that repeat among them are looked up once.
+_AT_ONCE = 4 << 20
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, shard_tokens: int = 1 << 20, memory: int = 64 << 20) -> None:
     """Encode every text, end it with ``end_id`` and write the shards to ``path``, in ascending doc_id order.
 
-    Null text is empty: its document is the end id alone. Null doc_id comes
-    first; rows that share a doc_id are ordered by their text. A shard closes
-    when it has ``shard_tokens`` ids, so only a longer document makes a longer
-    shard. An empty table writes no shard; other columns are ignored.
+    The ids are those of the tokenizers library for any file that it loads; a
+    worker remembers ids of about ``memory`` bytes of text at most. Null text
+    is empty: its document is the end id alone. Null doc_id comes first; rows
+    that share a doc_id are ordered by their text. A shard closes when it has
+    ``shard_tokens`` ids, so only a longer document makes a longer shard. An
+    empty table writes no shard; other columns are ignored.
     """
     from pyspark import TaskContext
 
@@ -352,19 +311,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     dealt = plain.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, nth = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encode, part, nth = encoder(tokenizer_path, memory), TaskContext.get().partitionId(), 0
         held: list[tuple[list[int | None], np.ndarray, np.ndarray]] = []
         size = 0
 
         def shard() -> pa.RecordBatch:
             doc_ids = [d for ds, _, _ in held for d in ds]
             lengths, ids = (np.concatenate([h[k] for h in held]) for k in (1, 2))
-            payload = pack_shard(doc_ids, lengths, ids, encoder.size)
+            payload = pack_shard(doc_ids, lengths, ids, encode.size)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((part, nth, len(doc_ids), len(ids), payload), _ARROW.types, strict=True)], schema=_ARROW)
 
-        for b in batches:
-            doc_ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
-            ids, lengths = encoder.encode(texts)
+        for doc_ids, texts in _together(batches):
+            ids, lengths = encode.encode(texts)
             # Room for the end id after each document.
             lengths = lengths + 1
             ended = np.full(int(lengths.sum()), end_id, np.int32)
@@ -389,29 +347,54 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     dealt.mapInArrow(run, SCHEMA).write.parquet(path)
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
+    """(doc_ids, texts) of several batches, until they have some characters."""
+    doc_ids: list[int | None] = []
+    texts: list[str] = []
+    size = 0
+    for b in batches:
+        new = [t or "" for t in b.column("text").to_pylist()]
+        doc_ids += b.column("doc_id").to_pylist()
+        texts += new
+        size += sum(map(len, new))
+        if size >= _AT_ONCE:
+            yield doc_ids, texts
+            doc_ids, texts, size = [], [], 0
+    if texts:
+        yield doc_ids, texts
+
+
+def _starts(shards: DataFrame) -> DataFrame:
+    """(part, nth, start): ids of all shards before each; summed by part first, so that no task sees all shards."""
+    sizes = shards.select("part", "nth", "n_tokens")
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
+    inside = Window.partitionBy("part").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.join(parts, "part").select("part", "nth", (F.col("part_start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"))
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document of the shards at ``path``, decoded from them.
+    """(doc_id, start, n_tokens, ids_crc32) of every document of the shards at ``path``, each decoded by itself.
 
     start: ids of all documents before it; ids_crc32: of its ids as
     little-endian unsigned 32-bit integers.
     """
-    # A shard's row can be some MB: few to a batch.
-    bound_arrow_batches(spark, rows=8)
+    bound_arrow_batches(spark)
     shards = spark.read.schema(SCHEMA).parquet(path)
-    before = Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)
     # Written first, so that its size is known when the join with the payloads is planned.
-    starts, _ = stage_table(shards.select("part", "nth", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start")), "shard-starts")
+    starts, _ = stage_table(_starts(shards), "shard-starts")
     placed = shards.join(starts, ["part", "nth"]).select("start", "payload")
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start, payload in zip(b.column("start").to_pylist(), b.column("payload").to_pylist(), strict=True):
-                shard = Shard(payload)
-                ids, stop = shard.all_ids().astype("<u4"), np.cumsum(shard.lengths)
-                begin = stop - shard.lengths
-                crc = [zlib.crc32(ids[i:j]) for i, j in zip(begin.tolist(), stop.tolist(), strict=True)]
-                cols = [shard.doc_ids, begin + start, shard.lengths, crc]
+            for start, payload in zip(b.column("start").to_pylist(), b.column("payload"), strict=True):
+                shard = Shard(payload.as_py())
+                found = [shard.document(k) for k in range(len(shard.doc_ids))]
+                crc = [zlib.crc32(ids.astype("<u4", copy=False)) for ids in found]
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                cols = [shard.doc_ids, start + np.cumsum(sizes) - sizes, sizes, crc]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, out.types, strict=True)], schema=out)
 
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
