@@ -133,46 +133,81 @@ def _gain(p: np.ndarray, n: np.ndarray, p0: float, n0: float) -> np.ndarray:
     return np.where(p > 0, got, -np.inf)
 
 
-def learn_rules(
-    passes: np.ndarray, bad: np.ndarray, good: np.ndarray, held: np.ndarray, most_rules: int = 12, most_conditions: int = 4, purity: float = 0.99, least_bad: int = 5
-) -> list[list[int]]:
-    """Sequential covering over counted rows: each rule a list of condition numbers.
-
-    ``passes``: which rows (first axis) pass which conditions; ``bad`` and
-    ``good``: how many labelled rows of each kind they stand for; ``held``:
-    rows that only prune. A rule counts if it covers ``least_bad`` bad rows
-    and, on all rows, bad ones are at least the share ``purity``.
+#: A condition of counted rows: (feature, above, k) compares with the k-th of the feature's cuts.
+Cut = tuple[int, bool, int]
+
+
+def _fits(bins: np.ndarray, cut: Cut) -> np.ndarray:
+    """Which rows pass; ``bins`` says above how many cuts of each feature a row lies."""
+    feature, above, k = cut
+    return (bins[:, feature] > k) == above
+
+
+def _best_cuts(bins: np.ndarray, cuts: list[int], bad: np.ndarray, good: np.ndarray) -> list[tuple[float, Cut]]:
+    """All conditions that gain on rows of these counts, the best first; of equals the strictest."""
+    p0, n0 = bad.sum(), good.sum()
+    out: list[tuple[float, int, Cut]] = []
+    for feature, n_cuts in enumerate(cuts):
+        p, n = (np.cumsum(np.bincount(bins[:, feature], w, n_cuts + 1))[:-1] for w in (bad, good))  # rows not above each cut
+        for above, x, y in ((True, p0 - p, n0 - n), (False, p, n)):
+            gain = _gain(x, y, p0, n0)
+            out += [(float(gain[k]), -k if above else k, (feature, above, int(k))) for k in np.flatnonzero(gain > 1e-9)]
+    return [(g, c) for g, _, c in sorted(out, key=lambda x: (-x[0], x[2][0], not x[2][1], x[1]))]
+
+
+def learn_rules(bins: np.ndarray, cuts: list[int], bad: np.ndarray, good: np.ndarray, held: np.ndarray, purity: float = 0.99, least_bad: int = 5) -> list[list[Cut]]:
+    """Sequential covering over counted rows; each rule is a list of conditions.
+
+    ``bins``: above how many of its cuts each feature (second axis) of each row
+    lies; ``cuts``: how many each feature has; ``bad`` and ``good``: how many
+    labelled rows of each kind a row stands for; ``held``: rows that only
+    prune. A rule starts with the condition that gains most, grows until it
+    covers no good row, and of its beginnings that cover ``least_bad`` bad rows,
+    a share of ``purity`` of all, the one stays that is best on the rows kept
+    back, the shortest of equals. Where none passes, the rule's first condition
+    is set aside and the next best one starts a rule. The list is complete when
+    no first condition is left.
     """
     open_ = np.ones(len(bad), bool)
-    rules: list[list[int]] = []
-    while len(rules) < most_rules:
-        inside = open_ & ~held
-        rule: list[int] = []
-        while len(rule) < most_conditions:
-            p0, n0 = bad[inside].sum(), good[inside].sum()
-            if not p0 or not n0:
-                break
-            gain = _gain(bad[inside] @ passes[inside], good[inside] @ passes[inside], p0, n0)
-            best = int(np.argmax(gain))
-            if gain[best] <= 1e-9:
-                break
-            rule.append(best)
-            inside &= passes[:, best]
-        if not rule:
-            break
+    rules: list[list[Cut]] = []
 
-        def worth(k: int, rule: list[int] = rule) -> float:
-            fits = open_ & held & passes[:, rule[:k]].all(axis=1)
+    def grown(first: Cut) -> list[Cut]:
+        rule, inside = [first], open_ & ~held & _fits(bins, first)
+        while bad[inside].sum() and good[inside].sum():
+            best = _best_cuts(bins[inside], cuts, bad[inside], good[inside])
+            if not best:
+                break
+            rule.append(best[0][1])
+            inside &= _fits(bins, rule[-1])
+        return rule
+
+    def passing(rule: list[Cut]) -> list[Cut] | None:
+        best: tuple[float, list[Cut]] | None = None
+        fits = open_.copy()
+        for k, cut in enumerate(rule, 1):
+            fits &= _fits(bins, cut)
             p, n = bad[fits].sum(), good[fits].sum()
-            return (p - n) / (p + n) if p + n else -1.0
-
-        rule = rule[: max(range(1, len(rule) + 1), key=lambda k: (worth(k), -k))]
-        fits = open_ & passes[:, rule].all(axis=1)
-        p, n = bad[fits].sum(), good[fits].sum()
-        if p < least_bad or p < purity * (p + n):
-            break
-        rules.append(rule)
-        open_ &= ~fits
+            if p < least_bad:
+                break
+            if p >= purity * (p + n):
+                out = fits & held
+                x, y = bad[out].sum(), good[out].sum()
+                worth = (x - y) / (x + y) if x + y else 0.0
+                if best is None or worth > best[0]:
+                    best = worth, rule[:k]
+        return best[1] if best else None
+
+    more = True
+    while more:
+        more = False
+        inside = open_ & ~held
+        for _, first in _best_cuts(bins[inside], cuts, bad[inside], good[inside]):
+            rule = passing(grown(first))
+            if rule:
+                rules.append(rule)
+                open_ &= ~np.logical_and.reduce([_fits(bins, c) for c in rule])
+                more = True
+                break
     return rules
 
 
@@ -188,7 +223,10 @@ def _bin(name: str, cuts: list[float]) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, thresholds: int = 40) -> list[Rule]:
-    """Rules that find quality 0, from at most ``max_labelled`` labelled rows; none without rows of both kinds."""
+    """Rules that find quality 0, from at most ``max_labelled`` labelled rows; none without rows of both kinds.
+
+    A doc_id with both labels counts as one row of each.
+    """
     sample = labelled_sample(labels, max_labelled)
     # 20,000 rows of two numbers at most: a fixed bound, so it is broadcast.
     chosen = docs.select(docs["doc_id"], docs["text"]).join(F.broadcast(sample), "doc_id")
@@ -199,13 +237,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, threshol
         share = [i / thresholds for i in range(1, thresholds)]
         cuts = table.where("quality = 0").agg(*[F.percentile_approx(n, share, 1000).alias(n) for n in names]).first()
         more = table.where("quality = 1").agg(*[F.percentile_approx(n, [*share, 0.99, 0.995, 1.0], 1000).alias(n) for n in names]).first()
-        conditions: list[Condition] = []
-        columns: list[Column] = []
-        for n in names:
-            values = sorted({*(cuts[n] or ()), *(more[n] or ())})
-            # Of conditions that gain alike, the first wins: the strictest.
-            conditions += [Condition(n, True, v) for v in reversed(values)] + [Condition(n, False, v) for v in values]
-            columns.append(_bin(n, values))
+        values = {n: sorted({*(cuts[n] or ()), *(more[n] or ())}) for n in names}
+        columns = [_bin(n, values[n]) for n in names]
         held = (F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(3)) == 0).alias("held")
         counted = table.select(*columns, held, "quality").groupBy(*names, "held").agg(F.sum(1 - F.col("quality")).alias("bad"), F.sum("quality").alias("good")).orderBy(*names, "held")
         rows = counted.collect()
@@ -214,11 +247,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, threshol
     bad, good = (np.array([r[k] for r in rows], float) for k in ("bad", "good"))
     if not bad.sum() or not good.sum():
         return []
-    index = {n: {v: i for i, v in enumerate(sorted({c.threshold for c in conditions if c.feature == n}))} for n in names}
-    at = {n: np.array([r[n] for r in rows]) for n in names}
-    passes = np.array([(at[c.feature] > index[c.feature][c.threshold]) == c.above for c in conditions]).T
-    found = learn_rules(passes, bad, good, np.array([r["held"] for r in rows]))
-    return [tuple(conditions[k] for k in rule) for rule in found]
+    bins = np.array([[r[n] for n in names] for r in rows], np.int64)
+    found = learn_rules(bins, [len(values[n]) for n in names], bad, good, np.array([r["held"] for r in rows]))
+    return [tuple(Condition(names[f], above, values[names[f]][k]) for f, above, k in rule) for rule in found]
 
 
 def judge(docs: DataFrame, rules: list[Rule], min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:

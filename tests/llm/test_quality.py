@@ -1,9 +1,11 @@
+import math
 import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from quantloom.llm import decisionlist, gam
+from quantloom.llm import decisionlist, gam, queries
 
 TEXTS = [
     None, "", "   \n ", "one", "a b c d e f g h", "a b c d e f g h " * 2, "x y\nx y\n\n\nx y \nx y", "été *** $$ | <b> A!B!!", "w " * 40,
@@ -55,6 +57,59 @@ def test_learned_rules_find_the_bad_rows(spark):
     assert got[None] is False and got[9000] is False
 
 
+def first_rule(rules, stats):
+    """The first rule whose conditions all hold, from 1, or 0, in plain Python."""
+    rate = lambda a, b: stats[a] / stats[b] if stats[b] else 0.0
+    x = {
+        "words": stats["n_words"], "word_length": rate("word_chars", "n_words"), "symbol_rate": rate("n_symbols", "n_words"), "dup_line_rate": rate("n_dup_lines", "n_lines"),
+        "repeat_rate": rate("n_repeat_words", "n_words"), "same_as_last_rate": rate("n_same_as_last", "n_words"), "capital_rate": rate("n_capitals", "word_chars"), "bang_rate": rate("n_bangs", "n_words"),
+    }
+    for k, rule in enumerate(rules, 1):
+        if all((x[c.feature] > c.threshold) == c.above for c in rule):
+            return k
+    return 0
+
+
+def test_rules_of_the_given_labels(spark):
+    """At the scale of the correctness check, rules are learned, find the bad rows that pass the base and spare the good."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rules = decisionlist.fit(docs, labels)
+    assert rules
+    judged = {r.doc_id: r for r in decisionlist.judge(docs, rules).collect()}
+    for r in judged.values():
+        assert r.rule == first_rule(rules, r.asDict())
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
+        assert r.kept == (not r.base_failed and not r.rule)
+    quality = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in judged}
+    bad = [i for i, q in quality.items() if q == 0 and not judged[i].base_failed]
+    good = [i for i, q in quality.items() if q == 1 and not judged[i].base_failed]
+    assert sum(not judged[i].kept for i in bad) >= 0.9 * len(bad)
+    assert sum(judged[i].kept for i in good) >= 0.99 * len(good)
+
+
+def test_a_first_condition_that_fails_is_set_aside():
+    """The condition that gains most covers good rows that no other tells apart; a pure one comes next."""
+    rows = [((1, 0), 39, 3), ((1, 1), 20, 0), ((0, 0), 0, 300)]
+    bins, bad, good = np.array([r[0] for r in rows]), np.array([float(r[1]) for r in rows]), np.array([float(r[2]) for r in rows])
+    rules = decisionlist.learn_rules(bins, [1, 1], bad, good, np.zeros(3, bool))
+    assert rules == [[(1, True, 0)]]
+    assert decisionlist.learn_rules(bins, [1, 1], bad, good, np.zeros(3, bool), purity=0.9) == [[(0, True, 0)]]
+    assert decisionlist.learn_rules(bins, [1, 1], bad, good, np.zeros(3, bool), least_bad=60) == []
+
+
+def test_repeated_rows_tied_labels_and_long_texts(spark):
+    docs, labels = corpus(spark, 200)
+    both = labels.unionByName(labels.where("doc_id < 40").selectExpr("doc_id", "1 - quality as quality"))
+    long = "word and other things " * 200_000
+    more = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(7777, long)], "doc_id long, text string").selectExpr("*", "1 as quality"))
+    rules = decisionlist.fit(more, both)
+    judged = {r.doc_id: r for r in decisionlist.judge(more, rules).collect()}
+    assert judged[7777].n_words == 800_000 and judged[7777].base_failed
+    model = gam.fit(more, both)
+    assert gam.score_documents(more, model).count() == 206
+
+
 def test_without_labels_no_rule_is_learned(spark):
     docs, labels = corpus(spark, 20)
     assert decisionlist.fit(docs, labels.limit(0)) == []
@@ -72,6 +127,35 @@ def test_held_out_accuracy(spark):
     assert sorted((str(r.doc_id), r.score) for r in again) == sorted((str(r.doc_id), r.score) for r in scored)
 
 
+def plain_score(model, x):
+    total = model.base
+    at = [sum(e < v for e in edges) for edges, v in zip(model.edges, x, strict=False)]
+    for f, table in enumerate(model.tables):
+        total += table[at[f]]
+    for (f, g), table in model.pairs.items():
+        total += table[at[f]][at[g]]
+    return 1 / (1 + math.exp(-max(-30, min(30, total))))
+
+
+def test_query_against_plain_python(spark):
+    """op8 on the given tables: scores added up one by one, held-out rows by zlib, and their ranking."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in queries.op8_quality_classifier(spark, sf).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    model = gam.fit(docs, labels)
+    assert set(got) == set(texts)
+    for i, r in got.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+        assert r.score == pytest.approx(plain_score(model, gam.text_numbers(texts[i])), abs=1e-12)
+        assert r.predicted == int(r.score >= 0.3)
+    out = [(got[r.doc_id].score, r.quality) for r in labels.collect() if r.doc_id in got and got[r.doc_id].held_out]
+    good, bad = [s for s, q in out if q == 1], [s for s, q in out if q == 0]
+    assert len(good) > 30 and len(bad) > 5
+    assert sum(g > b for g in good for b in bad) >= 0.98 * len(good) * len(bad)
+    assert sum((s >= 0.3) == q for s, q in out) >= 0.95 * len(out)
+
+
 def test_pairs_learn_what_single_tables_cannot():
     rng = np.random.default_rng(0)
     x = rng.uniform(-1, 1, (4000, 3))
