@@ -13,14 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import fmindex, gam, mixing, repair, simhash
+from quantloom.llm.columns import free_name
 from quantloom.llm.vocabularies import tokenizer_file
 from quantloom.shared import new_path, stage_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the additive model scores 0.3 or more."""
+    """Documents that the additive model scores 0.3 or more; empty and null texts are scored like any other."""
     model = gam.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), max_labelled=20_000)
-    return gam.score_documents(docs, model, "__quality").where(F.col("__quality") >= 0.3).select(*docs.columns)
+    name = free_name(docs, "quality_score")
+    return gam.score_documents(docs, model, name).where(F.col(name) >= 0.3).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Separators of plain words: space and the ASCII controls from tab to carriage return.
@@ -18,6 +18,28 @@ def narrowed(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[docs[n] for n in names])
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores at its end as it takes for no column to have it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_of(docs: DataFrame, name: str = "row") -> Column:
+    """Each row as one struct: while a plan works on it, no name of its columns can clash; ``unpacked`` gives it back."""
+    return F.struct(*[docs[quoted(c)] for c in docs.columns]).alias(name)
+
+
+def unpacked(df: DataFrame, columns: list[str], name: str = "row") -> DataFrame:
+    """The columns of rows that ``row_of`` packed, alone."""
+    return df.select(*[F.col(name).getField(c).alias(c) for c in columns])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The column's values as UTF-8 bytes, null as empty."""
     return [b if b is not None else b"" for b in batch.column(name).cast(pa.binary()).to_pylist()]
@@ -35,5 +57,5 @@ def arrow_map(
     return run
 
 
-def empty_if_null(name: str) -> F.Column:
+def empty_if_null(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))

@@ -31,11 +31,12 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionAll(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) for every node with a link; root is the smallest node that it reaches.
 
     ``links``: columns a and b of one ordered type. Nulls and self links are
     left out; repeated links count once; an empty input gives an empty result.
+    Rounds go on until nothing changes, so a long chain only takes more of them.
     """
     spark = links.sparkSession
     now, path = stage_table(
@@ -45,15 +46,11 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         "links",
     )
     seen = _signature(now)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         after, after_path = stage_table(_small_star(_large_star(now)), "links")
         drop_table(spark, path)
         now, path, before, seen = after, after_path, seen, _signature(after)
         if seen == before:
             break
-    else:
-        raise RuntimeError("the components did not settle")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

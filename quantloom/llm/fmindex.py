@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.shared import bound_arrow_batches
+from quantloom.llm.columns import free_name
+from quantloom.shared import bound_arrow_batches, drop_table, stage_table
 
 #: Bytes of words (digits, letters and whatever is not ASCII), A-Z lower-cased; all others become spaces.
 _TO_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -257,15 +258,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     shorter one. hit_spans are the merged ranges of word numbers that
     occurrences cover; hit_items the sorted ids, as strings, of the items found
     (an item without an id is found, but not listed). The benchmark is read in
-    blocks of ``block_bytes``; one block at a time is sent to the executors, and
-    each passes over the documents. Null text has no words. Repeated rows and
-    other columns stay as they are; an empty table gives an empty result, an
-    empty benchmark no hits.
+    blocks of ``block_bytes``: one block at a time is on the driver, is sent to
+    the executors and passes over the documents; before the next one comes, what
+    it found is written to the shared folder and it is freed. Null text has no
+    words. Columns named n_words, hit_spans or hit_items are replaced; repeated
+    rows and all other columns stay as they are; an empty table gives an empty
+    result, an empty benchmark no hits.
     """
     spark = docs.sparkSession
     bound_arrow_batches(spark)
     out = docs.withColumns({"n_words": F.lit(None).cast("long"), "hit_spans": F.lit(None).cast(SPANS), "hit_items": F.lit(None).cast("array<string>")})
-    for items in [*_blocks(benchmark, block_bytes)] or [[]]:
+    blocks = _blocks(benchmark, block_bytes)
+    items, shared, path = next(blocks, []), None, None
+    while items is not None:
+        if shared is not None:  # another block follows: the passes so far end here
+            (out, done), before = stage_table(out, "contamination"), path
+            shared.unpersist()
+            if before:
+                drop_table(spark, before)
+            path = done
         shared = spark.sparkContext.broadcast(Phrases.of(items, window))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -278,6 +289,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                     yield _with_found(b, own)
 
         out = out.mapInArrow(run, out.schema)
+        items = next(blocks, None)
     return out
 
 
@@ -325,11 +337,13 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def without_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` with the spans that find_contamination reports cut out of their texts, and n_chars, if there, counted anew.
 
-    Documents without a hit stay as they are; those of which no word is left go.
+    Documents without a hit stay as they are, null and empty texts among them;
+    those of which no word is left go. Repeated rows and columns of any other
+    name stay as they are; an empty table gives an empty result.
     """
     columns = docs.columns
     # Columns of these names, if there are any, step aside and come back.
-    own = {c: f"__own_{c}" for c in ("n_words", "hit_spans", "hit_items") if c in columns}
+    own = {c: free_name(docs, f"own_{c}") for c in columns if c.lower() in ("n_words", "hit_spans", "hit_items")}
     found = find_contamination(docs.withColumnsRenamed(own), benchmark, window).where("n_words = 0 or size(hit_spans) = 0 or aggregate(hit_spans, 0L, (a, x) -> a + x.end - x.start) < n_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.columns import WORD
+from quantloom.llm.columns import WORD, row_of, unpacked
 from quantloom.shared import stage_table
 
 #: Hexadecimal digits of the hash that name a bucket, and slices of one unit of virtual time.
@@ -46,11 +46,13 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with its size and place in the shuffled order; the text breaks ties of doc_id."""
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id and source of ``docs`` with its size and place in the shuffled order; the text breaks ties of doc_id."""
     place = F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit("")))
     return docs.select(
-        *[docs[c] for c in docs.columns],
+        docs["doc_id"],
+        docs["source"],
+        *more,
         size_of(docs["text"]).alias("__size"),
         place.alias("__place"),
         F.md5(F.coalesce(docs["text"], F.lit(""))).alias("__tie"),
@@ -104,7 +106,7 @@ def _hand_out(nth: int) -> Column:
 
 def plan_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, passes: int = 2) -> tuple[Mix, DataFrame]:
     """The mix, and the documents' (doc_id, source, keys) that it was planned from."""
-    keyed, _ = stage_table(_keyed(docs.select(docs["doc_id"], docs["source"], docs["text"])).drop("text"), "mix-sizes")
+    keyed, _ = stage_table(_keyed(docs), "mix-sizes")
     targets, _ = stage_table(source_targets(keyed.select("source", F.col("__size").alias("size")), weights, share, passes), "mix-targets")
     ranks = targets.select(F.col("source").alias("__source"), F.col("rank").alias("__rank"))
     sums = (
@@ -164,7 +166,13 @@ def mixed_sizes(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, passes: int = 2, ordered: bool = True) -> DataFrame:
-    """The mix itself: a row of ``docs`` for each time it is handed out, in order of virtual time if ``ordered``."""
+    """The mix itself: a row of ``docs`` for each time it is handed out, in order of virtual time if ``ordered``.
+
+    Rows of null or empty text have size 0 and are never handed out; null is a
+    source of its own. Repeated rows take their turns one after another.
+    Columns of any name stay as they are; an empty table gives an empty result.
+    """
     mix, _ = plan_mix(docs, weights, share, passes)
-    out = deal(_keyed(docs), mix).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode("__passes").alias("__time"), "__rank", "__place")
-    return (out.orderBy("__time", "__rank", "__place") if ordered else out).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The row itself is one column, so none of its names can clash with those used here.
+    out = deal(_keyed(docs, row_of(docs)), mix).select("row", F.explode("__passes").alias("time"), "__rank", "__place", "__tie")
+    return unpacked(out.orderBy("time", "__rank", "__place", "__tie") if ordered else out, docs.columns)

@@ -24,9 +24,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantloom.llm import jaccard
-from quantloom.llm.columns import arrow_map, texts
+from quantloom.llm.columns import arrow_map, row_of, texts, unpacked
 from quantloom.llm.components import connected_components
 from quantloom.shared import bound_arrow_batches, stage_table
 
@@ -195,13 +196,18 @@ def one_of_each(docs: DataFrame, words: int = 3, seed: int = 42, distance: int =
     """``docs`` with one row of each component of near_duplicates: that with the smallest doc_id.
 
     With ``similarity``, texts with that Jaccard similarity of their shingles of ``shingle`` words are in one component too.
-    Of rows that share that doc_id, one text stays, and of wholly equal rows
-    one; rows without a doc_id stay only if their component has no other.
+    Of rows that share that doc_id, one text stays, and of rows that share that
+    too the first by their other columns; rows without a doc_id stay only if
+    their component has no other. Null text is an empty text. Columns of any
+    name and type stay as they are; an empty table gives an empty result.
     """
     _, known = _with_lowest(docs, words, seed, distance, blocks, similarity, shingle)
-    kept = known.select("low.*").distinct().select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"))
-    tie = F.xxhash64(docs["text"])
-    stay = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__id")) & (tie == F.col("__tie")), "left_semi")
-    # Rows that repeat a kept doc_id and text meet in one small group each.
-    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]))
-    return stay.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    kept = known.select("low.*").distinct().select(F.col("doc_id").alias("id"), "tie")
+    # The row itself is one column, so none of its names can clash with those used here.
+    rows = docs.select(row_of(docs), docs["doc_id"].alias("own_id"), F.xxhash64(docs["text"]).alias("own_tie"))
+    stay = rows.join(kept.hint("shuffle_hash"), F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_tie") == F.col("tie")), "left_semi")
+    # Rows that repeat a kept doc_id and text meet in one small group each. Maps have no order, but text forms of them have.
+    simple = lambda f: F.col("row").getField(f.name) if not isinstance(f.dataType, T.MapType | T.StructType | T.ArrayType) else F.to_json(F.struct(F.col("row").getField(f.name)))
+    order = [simple(f).asc_nulls_first() for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    nth = F.row_number().over(Window.partitionBy("own_id", "own_tie").orderBy(*order or [F.lit(0)]))
+    return unpacked(stay.withColumn("nth", nth).where("nth = 1"), docs.columns)

@@ -26,8 +26,10 @@ from quantloom.shared import bound_arrow_batches, new_path, stage_table
 _PIECES = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]")
 #: White space beyond ASCII: a run of it may join with its neighbours, so such texts go to the library whole.
 _WIDE = re.compile("[%s]" % "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))))
-#: Pieces that a worker remembers at most; beyond that it forgets all and starts anew.
-_MEMORY = 600_000
+#: Bytes of pieces and their counts that a worker remembers, about; beyond that it forgets all and starts anew.
+_MEMORY = 64 << 20
+#: Longer pieces are counted each time.
+_LONGEST = 64
 
 _loaded: dict[str, Counter] = {}
 
@@ -46,6 +48,7 @@ class Counter:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, int] = {}
+        self.bytes = 0
         self.pieces = pieces
 
     def _encode(self, texts: list[str]) -> list[int]:
@@ -63,11 +66,15 @@ class Counter:
         for i, text in enumerate(texts):
             if i not in skip:
                 cut = _PIECES.findall(text)
-                if len(self.known) > _MEMORY:
+                if self.bytes > _MEMORY:
                     self.known.clear()
+                    self.bytes = 0
+                long: dict[str, int] = {}
                 if new := list(set(cut).difference(self.known)):
-                    self.known.update(zip(new, self._encode(new), strict=True))
-                out[i] = sum(map(self.known.__getitem__, cut))
+                    for piece, n in zip(new, self._encode(new), strict=True):
+                        (self.known if len(piece) <= _LONGEST else long)[piece] = n
+                    self.bytes += sum(len(p) + 130 for p in new if len(p) <= _LONGEST)
+                out[i] = sum(map(self.known.__getitem__, cut)) if not long else sum(long[p] if p in long else self.known[p] for p in cut)
         return out
 
 

@@ -84,6 +84,47 @@ def test_tokens(stages):
     assert sorted(map(tuple, stages[5].collect()), key=lambda r: r[1]) == want
 
 
+CLASHES = [
+    "__size", "__rank", "__time", "__place", "__tie", "__passes", "__done", "__start", "__target", "__bucket", "__source", "__id", "__nth", "__quality", "__own_n_words",
+    "quality_score", "n_words", "hit_spans", "hit_items", "own_n_words", "row", "time", "nth", "id", "tie", "own_id", "own_tie", "fp", "low", "root", "score", "size", "slice",
+]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string"))).unionByName(docs.limit(1).withColumn("text", F.lit("")))
+    docs = docs.unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.limit(2).withColumn("source", F.lit(None).cast("string")))
+    docs = docs.unionByName(docs.limit(1).selectExpr("doc_id + 500000 as doc_id", "repeat(text || ' ', 3000) as text", "lang", "source", "n_chars"))
+    more = {c: F.concat(F.lit(f"{c} "), F.col("lang")) for c in CLASHES}
+    return docs.withColumns({**more, "m": F.create_map(F.lit("k"), F.col("lang")), "a": F.array(F.struct(F.col("n_chars").alias("x")))}).cache()
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_clashing_columns_stay_as_they_are(spark, clashing, k):
+    """Names that the stages use themselves, maps, null ids, null and empty texts and a very long one."""
+    out = corpus_pipeline.STAGES[k][1](spark, clashing, SF)
+    assert out.columns == clashing.columns
+    rows = out.collect()
+    assert rows
+    for r in rows:
+        assert all(r[c] == f"{c} {r['lang']}" for c in CLASHES) and r["m"] == {"k": r["lang"]} and len(r["a"]) == 1
+
+
+def test_last_stage_with_clashing_columns(spark, clashing):
+    out = corpus_pipeline.STAGES[4][1](spark, clashing, SF).collect()
+    assert len(out) == clashing.count() and sum(r.doc_id is None for r in out) == 2
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_empty_table(spark, k):
+    """Each stage gives an empty result for one, with the same columns but for the last."""
+    none = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    out = corpus_pipeline.STAGES[k][1](spark, none, SF)
+    assert out.count() == 0
+    assert k == 4 or out.columns == none.columns
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 100
