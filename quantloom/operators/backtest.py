@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import by_ticker, forward_fill, keep_last
@@ -52,12 +52,15 @@ def trades(prices: DataFrame, weights: DataFrame, costs: Costs = Costs(), cap: f
         {
             "live": F.lag("weight", 1, 0.0).over(w),
             "ret": F.coalesce(F.try_divide(F.col("__padded"), F.lag("__padded").over(w)) - 1, F.lit(0.0)),
-            # The mean of the n rows before this one.
-            "__usual": F.avg("__dollars").over(w.rowsBetween(-n, -1)),
         }
     )
-    liquidity = F.when(F.col("__usual") > 0, F.col("__usual")).otherwise(F.col("__dollars"))
-    return grid.select("date", "ticker", "live", F.abs(F.col("weight") - F.col("live")).alias("change"), "ret", liquidity.alias("liquidity"))
+    return grid.select("date", "ticker", "live", F.abs(F.col("weight") - F.col("live")).alias("change"), "ret", usual_liquidity(F.col("__dollars"), n).alias("liquidity"))
+
+
+def usual_liquidity(dollars: Column, n: int) -> Column:
+    """The mean of the n rows of the ticker before this one; this row's own where that is not above 0."""
+    usual = F.avg(dollars).over(by_ticker().rowsBetween(-n, -1))
+    return F.when(usual > 0, usual).otherwise(dollars)
 
 
 def daily(moves: DataFrame, costs: Costs = Costs()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Trading days a year.
@@ -19,7 +19,12 @@ def with_curves(days: DataFrame) -> DataFrame:
     out = days.withColumn("equity", F.product(1 + F.col("net_return")).over(w)).withColumn("gross_equity", F.product(1 + F.col("gross_return")).over(w))
     if "benchmark_return" in days.columns:
         out = out.withColumn("benchmark_equity", F.product(1 + F.col("benchmark_return")).over(w))
-    return out.withColumn("drawdown", F.col("equity") / F.max("equity").over(w) - 1)
+    return out.withColumn("drawdown", running_drawdown(F.col("equity"), Window.orderBy("date")))
+
+
+def running_drawdown(value: Column, over: WindowSpec) -> Column:
+    """How far a value is below its maximum so far."""
+    return value / F.max(value).over(over.rowsBetween(Window.unboundedPreceding, 0)) - 1
 
 
 def summary(days: DataFrame) -> DataFrame:

@@ -70,6 +70,17 @@ def predict_linear(frame: DataFrame, models: DataFrame, columns: Sequence[str])
     return joined.withColumn("predicted_return", F.col("intercept") + F.aggregate(x, F.lit(0.0), lambda a, v: a + v)).drop("rebalance_date", "beta", "mean", "sd", "intercept")
 
 
+def expanding_ridge(frame: DataFrame, dates: DataFrame, columns: Sequence[str], alpha: float = 8.0, min_rows: int = 252) -> DataFrame:
+    """Candidates of each date with predicted_return and train_rows: a model on all labels known before the date, with no part kept back.
+
+    ``frame``: the columns, future_return and label_available_date; rows without
+    a label do not teach. Dates with fewer than ``min_rows`` labels have no model.
+    """
+    usable = frame.where("future_return is not null and label_available_date is not null")
+    fitted = ridge_models(usable, dates.select(F.col("date").alias("rebalance_date"), F.col("date").alias("cutoff")), columns, alpha, min_rows)
+    return predict_linear(frame, fitted, columns)
+
+
 def sequences(frame: DataFrame, columns: Sequence[str], length: int) -> DataFrame:
     """Each row with ``sequence``: the vectors of its last ``length`` rows; rows without a whole one are left out."""
     w = by_ticker().rowsBetween(1 - length, 0)

@@ -121,49 +121,6 @@ def guardrails(orders: DataFrame, max_orders: int, max_total: float, max_single:
     return facts.withColumn("violations", broken).withColumn("allowed", F.size("violations") == 0).drop("seen")
 
 
-def fill_orders(orders: DataFrame, positions: DataFrame, cash: float, fee_bps: float = 0.0, fractional: bool = False) -> DataFrame:
-    """(rank, ticker, side, requested_shares, filled_shares, remaining_shares, price, fees, cash_after, status, reject_reason).
-
-    Sells fill before buys, then by ticker, and each buy sees the cash that the
-    fills before it left, so the orders of one account fold in order. Accounts
-    (column ``account``, if there is one) are independent groups.
-    """
-    by = ["account"] if "account" in orders.columns else []
-    fee = max(0.0, fee_bps) / 10_000.0
-    held = positions.select(*by, "ticker", "shares")
-    one = F.struct(
-        F.when(F.col("side") == "SELL", 0).otherwise(1).alias("priority"),
-        F.col("ticker"),
-        F.col("side"),
-        F.abs("order_shares").alias("requested"),
-        F.col("close").alias("price"),
-        F.coalesce("shares", F.lit(0.0)).alias("held"),
-    )
-    grouped = orders.where("side in ('BUY', 'SELL') and order_shares <> 0").join(held, [*by, "ticker"], "left").groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("rows"))
-    fill = "struct<ticker:string,side:string,requested_shares:double,filled_shares:double,remaining_shares:double,price:double,fees:double,cash_after:double,status:string,reject_reason:string>"
-    start = F.struct(F.lit(float(cash)).alias("cash"), F.array().cast(f"array<{fill}>").alias("out"))
-
-    def whole(x: Column) -> Column:
-        return F.bround(x, 6) if fractional else F.floor(x + 1e-12).cast("double")
-
-    def step(state: Column, x: Column) -> Column:
-        room = F.when(x["side"] == "SELL", x["held"]).otherwise(F.greatest(F.lit(0.0), F.try_divide(state["cash"], x["price"] * (1 + fee))))
-        filled = F.when(x["price"] > 0, F.greatest(F.lit(0.0), whole(F.least(x["requested"], room)))).otherwise(0.0)
-        value = filled * F.coalesce(x["price"], F.lit(0.0))
-        cash_after = state["cash"] + F.when(x["side"] == "SELL", value * (1 - fee)).otherwise(-value * (1 + fee))
-        reason = F.when(filled > 0, F.lit(None).cast("string")).when(F.coalesce(x["price"], F.lit(0.0)) <= 0, "missing_price").when(x["side"] == "SELL", "insufficient_shares").otherwise("insufficient_cash")
-        status = F.when(filled <= 0, "REJECTED").when(filled >= x["requested"], "FILLED").otherwise("PARTIALLY_FILLED")
-        row = F.struct(
-            x["ticker"].alias("ticker"), x["side"].alias("side"), x["requested"].alias("requested_shares"), filled.alias("filled_shares"),
-            F.greatest(F.lit(0.0), x["requested"] - filled).alias("remaining_shares"), F.when(filled > 0, x["price"]).alias("price"),
-            (value * fee).alias("fees"), cash_after.alias("cash_after"), status.alias("status"), reason.alias("reject_reason"),
-        )
-        return F.struct(cash_after.alias("cash"), F.concat(state["out"], F.array(row)).alias("out"))
-
-    fills = grouped.select(*by, F.posexplode(F.aggregate("rows", start, step)["out"]).alias("rank", "f"))
-    return fills.select(*by, (F.col("rank") + 1).alias("rank"), "f.*")
-
-
 def positions_after(positions: DataFrame, fills: DataFrame) -> DataFrame:
     """Positions with the fills applied; names that fall to 0 leave."""
     moved = fills.select("ticker", F.when(F.col("side") == "BUY", F.col("filled_shares")).otherwise(-F.col("filled_shares")).alias("shares"))

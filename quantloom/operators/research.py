@@ -44,16 +44,21 @@ def signal_strategy(prices: DataFrame, events: DataFrame, capital: float = 100_0
     return out.withColumn("portfolio_value", grown * capital)
 
 
+def hit_rate(score: Column, outcome: Column) -> Column:
+    """How often outcome and score have one sign, of rows that have both and a score other than 0."""
+    both = outcome.isNotNull() & score.isNotNull() & (score != 0)
+    return F.avg(F.when(both, (F.signum(outcome) == F.signum(score)).cast("double")))
+
+
 def audit_summary(events: DataFrame, horizon: int) -> DataFrame:
     """By ticker: events, hit rate of the score's sign, correlation with the return and mean return."""
     r, s = F.col(f"forward_{horizon}d_return"), F.col("llm_score")
     both = r.isNotNull() & s.isNotNull()
-    hits = F.avg(F.when(both & (s != 0), (F.signum(r) == F.signum(s)).cast("double")))
     n = F.count_if(both)
     return events.groupBy("ticker").agg(
         F.count("*").alias("events"),
         n.alias("with_return"),
-        hits.alias("hit_rate"),
+        hit_rate(s, r).alias("hit_rate"),
         F.when((n >= 2) & (F.stddev_pop(F.when(both, r)) > 0) & (F.stddev_pop(F.when(both, s)) > 0), F.corr(F.when(both, s), F.when(both, r))).alias("correlation"),
         F.avg(F.when(both, r)).alias("mean_return"),
     )
@@ -97,19 +102,23 @@ class WalkForward:
         return self.horizon if self.embargo is None else self.embargo
 
 
+def forward_labels(frame: DataFrame, horizon: int) -> DataFrame:
+    """``frame`` with the return over the next ``horizon`` rows of its ticker and the date on which it is known; null where there are fewer."""
+    w = by_ticker()
+    return frame.withColumns({"future_return": F.try_divide(F.lead("close", horizon).over(w), F.col("close")) - 1, "label_available_date": F.lead("date", horizon).over(w)})
+
+
+def live_candidates(frame: DataFrame, dates: DataFrame) -> DataFrame:
+    """Rows of a learning frame on the dates that a model could rank: eligible, with history and all model columns."""
+    return frame.join(dates.select("date"), "date", "left_semi").where("eligible_universe and enough_history and has_model_features")
+
+
 def learning_frame(features: DataFrame, config: WalkForward, min_history: int, scores: DataFrame | None = None) -> DataFrame:
     """Features with the forward label, when it is known, and the flags of usable rows."""
-    w = by_ticker()
     out = attach_scores(features, scores) if scores is not None else features.withColumn("llm_score", F.lit(0.0))
-    out = with_history(out, min_history)
+    out = forward_labels(with_history(out, min_history), config.horizon)
     flags = {"trend_flag": "trend_ok", "market_trend_flag": "market_trend_ok", "market_high_vol_flag": "market_high_vol_regime"}
-    out = out.withColumns(
-        {
-            "future_return": F.try_divide(F.lead("close", config.horizon).over(w), F.col("close")) - 1,
-            "label_available_date": F.lead("date", config.horizon).over(w),
-            **{k: F.coalesce(F.col(v), F.lit(False)).cast("double") for k, v in flags.items() if v in out.columns},
-        }
-    )
+    out = out.withColumns({k: F.coalesce(F.col(v), F.lit(False)).cast("double") for k, v in flags.items() if v in out.columns})
     known = F.lit(True)
     for c in config.columns:
         known = known & F.col(c).isNotNull()

@@ -69,6 +69,22 @@ def rank_monthly(features: DataFrame, rules: Rules = Rules(), scores: DataFrame
     return top_n(fit.withColumn("score", score), "score", rules.top_n).select("date", "ticker", "score", "rank", "weight")
 
 
+def weigh_predictions(predicted: DataFrame, rules: Rules = Rules(trend_mode="soft")) -> DataFrame:
+    """``predicted`` (date, ticker, predicted_return) with the rank on its date and the weight, 0 beyond the best ``top_n``.
+
+    Where there is a column trend_ok, rows without a trend go in hard mode and
+    are ranked lower by the penalty in soft mode.
+    """
+    score = F.col("predicted_return")
+    if "trend_ok" in predicted.columns:
+        predicted = _trend(predicted, rules)
+        score = score - (~F.col("trend_ok")).cast("double") * rules.trend_penalty if rules.trend_mode == "soft" else score
+    best = Window.partitionBy("date").orderBy(score.desc_nulls_last(), "ticker")
+    ranked = predicted.withColumn("rank", F.row_number().over(best))
+    chosen = F.least(F.lit(rules.top_n), F.count("*").over(Window.partitionBy("date")))
+    return ranked.withColumn("weight", F.when(F.col("rank") <= rules.top_n, 1.0 / chosen).otherwise(0.0))
+
+
 def spine(frame: DataFrame) -> DataFrame:
     """Every date with every ticker of the frame. Dates are few and fixed by the calendar, so they are the side that is copied."""
     return frame.select("ticker").distinct().crossJoin(F.broadcast(frame.select("date").distinct()))
@@ -97,3 +113,8 @@ def limit_weights(weights: DataFrame, cap: float, cash_buffer: float) -> DataFra
     cut = weights.withColumn("weight", F.least(F.lit(cap), F.greatest(F.lit(0.0), F.coalesce("weight", F.lit(0.0)))))
     total, room = F.sum("weight").over(Window.partitionBy("date")), F.lit(max(0.0, 1.0 - cash_buffer))
     return cut.withColumn("weight", F.when(total > room, F.col("weight") * room / total).otherwise(F.col("weight")))
+
+
+def wide_weights(weights: DataFrame, tickers: tuple[str, ...]) -> DataFrame:
+    """A row a date with a column for each of the named tickers; 0 where a name has no weight."""
+    return weights.groupBy("date").pivot("ticker", list(tickers)).agg(F.max("weight")).fillna(0.0)

@@ -40,8 +40,8 @@ def clamp(x: Column, low: float, high: float) -> Column:
 def clean(text: Column) -> Column:
     """Without table-of-contents and page marks, white space collapsed."""
     out = F.regexp_replace(text, r"(?i)table of contents", " ")
-    out = F.regexp_replace(out, r"(?i)\bpage \d+\b", " ")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    out = F.regexp_replace(out, r"(?iU)\bpage\s+\d+\b", " ")
+    return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
 
 
 def items(text: Column) -> Column:
@@ -61,11 +61,6 @@ def has_any(text: Column, words: Sequence[str]) -> Column:
     return out
 
 
-def guidance_sentences(text: Column, keywords: Sequence[str] = GUIDANCE, boilerplate: Sequence[str] = BOILERPLATE, most: int = 8) -> Column:
-    found = F.filter(sentences(text), lambda s: has_any(s, keywords) & ~has_any(s, boilerplate))
-    return F.array_join(F.slice(found, 1, most), " ")
-
-
 def without_boilerplate(text: Column, boilerplate: Sequence[str] = BOILERPLATE) -> Column:
     """Sentences that hold no marker; the text itself if none is left."""
     kept = F.trim(F.array_join(F.filter(sentences(text), lambda s: ~has_any(s, boilerplate)), " "))
@@ -85,10 +80,19 @@ def hits(text: Column, words: Sequence[str]) -> Column:
     return out
 
 
-def keyword_scores(docs: DataFrame, text: str = "text", positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE, risk: Sequence[str] = RISK) -> DataFrame:
-    """``docs`` with positive, negative and risk hits and the score, confidence and risk flag from them."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumns({"positive_hits": hits(t, positive), "negative_hits": hits(t, negative), "risk_hits": hits(t, risk)})
+def scored_text(docs: DataFrame, text: str = "text", boilerplate: Sequence[str] = BOILERPLATE) -> Column:
+    """What scores are made of: title and text in lower case, without boilerplate sentences."""
+    title = F.coalesce(F.col("title"), F.lit("")) if "title" in docs.columns else F.lit("")
+    return F.lower(without_boilerplate(F.concat(title, F.lit(" "), F.coalesce(F.col(text), F.lit(""))), boilerplate))
+
+
+def keyword_scores(
+    docs: DataFrame, text: str = "text", positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE, risk: Sequence[str] = RISK, boilerplate: Sequence[str] = BOILERPLATE
+) -> DataFrame:
+    """``docs`` with positive, negative and risk hits in title and text, and the score, confidence and risk flag from them."""
+    # The text is cleaned once; the hits are counted inside one lambda over it.
+    counted = F.transform(F.array(scored_text(docs, text, boilerplate)), lambda t: F.struct(*[hits(t, words).alias(f"{name}_hits") for name, words in (("positive", positive), ("negative", negative), ("risk", risk))]))
+    out = docs.select("*", F.inline(counted))
     total = F.col("positive_hits") + F.col("negative_hits") + F.col("risk_hits")
     return out.withColumns(
         {
@@ -99,11 +103,14 @@ def keyword_scores(docs: DataFrame, text: str = "text", positive: Sequence[str]
     )
 
 
-def horizon_scores(scored: DataFrame, text: str = "text") -> DataFrame:
-    """One row for each horizon: the score times the multiplier of the section, clamped; risk sections never above -0.2."""
+def horizon_scores(scored: DataFrame, text: str = "text", boilerplate: Sequence[str] = BOILERPLATE, earnings: str = "earnings") -> DataFrame:
+    """One row for each horizon: the score times the multiplier of the section, clamped; risk sections never above -0.2.
+
+    Items 2.02, and texts that speak of earnings outside of boilerplate, have the multipliers of earnings.
+    """
     section = F.lower(F.coalesce("section_type", F.lit("")))
     kind = (
-        F.when(F.startswith(section, F.lit("item_2_02")) | F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit("earnings")), "earnings")
+        F.when(F.startswith(section, F.lit("item_2_02")) | F.contains(scored_text(scored, text, boilerplate), F.lit(earnings)), "earnings")
         .when(section.isin("forward_guidance", "risk_factors", "liquidity"), section)
         .otherwise("other")
     )
@@ -114,11 +121,6 @@ def horizon_scores(scored: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("score", clamp(F.col("__base") * F.col("m"), -1.0, 1.0)).drop("__base", "m")
 
 
-def filing_passes(item_list: Column, text: Column, least: int = 250) -> Column:
-    """Long enough, with an allowed item, and without a noise pattern."""
-    return F.arrays_overlap(item_list, F.array(*map(F.lit, ALLOWED_ITEMS))) & (F.char_length(text) >= least) & ~has_any(text, NOISE)
-
-
 def json_object(text: Column, schema: str) -> Column:
     """The object between the first { and the last } of a text."""
     return F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), schema)
@@ -128,6 +130,16 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 
 
+def clean_text(text: str) -> str:
+    """``filings.clean_filing`` of one text, for operators that hold it in Python anyway."""
+    import re
+    import unicodedata
+
+    out = unicodedata.normalize("NFKC", text).replace("\u2019", "'").replace("\u2014", "-")
+    out = re.sub(r"(?i)table of contents", " ", out)
+    return " ".join(re.sub(r"(?i)\bpage\s+\d+\b", " ", out).split())
+
+
 _HIDDEN = ("script", "style", "head", "title", "noscript", "template")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
@@ -147,7 +159,8 @@ def html_text(html: str | None) -> str:
                 return
             given = {k: v or "" for k, v in attrs}
             style = given.get("style", "").replace(" ", "").lower()
-            hides = tag in _HIDDEN or ":" in tag or "hidden" in given or "display:none" in style
+            marked = given.get("aria-hidden", "").lower() == "true" or "hidden" in given.get("class", "").lower()
+            hides = tag in _HIDDEN or ":" in tag or "hidden" in given or "display:none" in style or marked
             self.open.append((tag, hides))
 
         def handle_endtag(self, tag):
@@ -174,57 +187,3 @@ def pages_text(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"page_id": f["page_id"], "text": [html_text(x) for x in f["html"]]})
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, text string")
-
-
-#: Where a section of a periodic report begins and ends; the longest candidate is taken.
-SECTION_PATTERNS = {
-    "mda": r"(?is)management.s discussion and analysis(.*?)(?=quantitative and qualitative disclosures|controls and procedures|$)",
-    "risk_factors": r"(?is)item\s+1a\.?\s+risk factors(.*?)(?=item\s+1b|item\s+2\.|unresolved staff comments|$)",
-    "liquidity": r"(?is)liquidity and capital resources(.*?)(?=critical accounting|off-balance sheet|item\s+\d|$)",
-}
-
-
-def item_sections(text: Column) -> Column:
-    """array of (item, body): each item's longest body up to the next item or the signatures."""
-    numbers = items(F.array_join(F.regexp_extract_all(text, F.lit(r"(?i)(item\s+\d+\.\d+)"), F.lit(1)), " "))
-
-    def body(n: Column) -> Column:
-        pattern = F.concat(F.lit(r"(?is)item\s+"), F.replace(n, F.lit("."), F.lit(r"\.")), F.lit(r"(.*?)(?=item\s+\d+\.\d+|signatures|$)"))
-        found = F.transform(F.regexp_extract_all(text, pattern, F.lit(1)), lambda s: F.trim(s))
-        best = F.aggregate(found, F.lit(""), lambda a, s: F.when(F.char_length(s) > F.char_length(a), s).otherwise(a))
-        return F.struct(n.alias("item"), best.alias("body"))
-
-    return F.filter(F.transform(numbers, body), lambda x: x["body"] != "")
-
-
-def report_sections(text: Column) -> Column:
-    """array of (section_type, body) of the named sections that the text has."""
-    out = []
-    for name, pattern in SECTION_PATTERNS.items():
-        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda s: F.trim(s))
-        best = F.aggregate(found, F.lit(""), lambda a, s: F.when(F.char_length(s) > F.char_length(a), s).otherwise(a))
-        out.append(F.struct(F.lit(name).alias("section_type"), best.alias("body")))
-    return F.filter(F.array(*out), lambda x: x["body"] != "")
-
-
-def scoring_documents(filings: DataFrame, least: int = 250) -> DataFrame:
-    """One row for each section of a filing that is long enough to score: items of current reports, named sections and guidance of periodic ones."""
-    body = clean(F.coalesce("raw_text", F.lit("")))
-    current = F.col("form").startswith("8-K")
-    out = filings.withColumn("__text", body)
-    from_items = F.transform(
-        F.filter(item_sections(F.col("__text")), lambda x: x["item"].isin(*ALLOWED_ITEMS)),
-        lambda x: F.struct(F.concat(F.lit("item_"), F.replace(x["item"], F.lit("."), F.lit("_"))).alias("section_type"), x["body"].alias("body")),
-    )
-    guidance = F.array(F.struct(F.lit("forward_guidance").alias("section_type"), guidance_sentences(F.col("__text")).alias("body")))
-    cut = F.when(current, from_items).otherwise(F.concat(report_sections(F.col("__text")), guidance))
-    floor = F.create_map(*[F.lit(x) for kv in {"liquidity": max(120, least // 2), "forward_guidance": max(120, least // 2), "risk_factors": max(150, least // 2)}.items() for x in kv])
-    rows = out.select("*", F.inline(cut).alias("section_type", "text"))
-    rows = rows.where((F.char_length("text") >= F.coalesce(F.try_element_at(floor, F.col("section_type")), F.lit(least))) & ~has_any(F.col("text"), NOISE))
-    return rows.withColumns(
-        {
-            "document_id": F.coalesce("accession_number", F.sha2("__text", 256)),
-            "section_id": F.concat_ws(":", F.coalesce("accession_number", F.sha2("__text", 256)), "section_type"),
-            "items": F.array_join(items(F.coalesce("items", F.lit(""))), ","),
-        }
-    ).drop("__text", "raw_text")

@@ -25,9 +25,8 @@ def w12_running_count(spark, sf_dir):
 
 @query("w13_forward_labels", with_tables("SELECT date, ticker, round(lead(close, 20) OVER w / close - 1, 6) AS future_return, lead(date, 20) OVER w AS label_available_date FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY date)"))
 def w13_forward_labels(spark, sf_dir):
-    w = by_ticker()
-    ahead = F.try_divide(F.lead("close", 20).over(w), F.col("close")) - 1
-    return panel.prices(spark, sf_dir).select("date", "ticker", r6(ahead).alias("future_return"), F.lead("date", 20).over(w).alias("label_available_date"))
+    labelled = research.forward_labels(panel.prices(spark, sf_dir), 20)
+    return labelled.select("date", "ticker", r6(F.col("future_return")).alias("future_return"), "label_available_date")
 
 
 @query("j18_dense_panel", with_tables("SELECT d.date, t.ticker, round(last_value(p.close IGNORE NULLS) OVER (PARTITION BY t.ticker ORDER BY d.date ROWS UNBOUNDED PRECEDING), 5) AS close, coalesce(p.volume, 0) AS volume FROM (SELECT DISTINCT date FROM prices) d CROSS JOIN (SELECT DISTINCT ticker FROM prices) t LEFT JOIN prices p ON p.date = d.date AND p.ticker = t.ticker"))
@@ -60,15 +59,14 @@ def a2_daily_portfolio(spark, sf_dir):
 
 @query("w20_running_drawdown", with_tables("SELECT date, ticker, round(close / max(close) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) - 1, 6) AS drawdown FROM prices"))
 def w20_running_drawdown(spark, sf_dir):
-    top = F.max("close").over(by_ticker().rowsBetween(Window.unboundedPreceding, 0))
-    return panel.prices(spark, sf_dir).select("date", "ticker", r6(F.col("close") / top - 1).alias("drawdown"))
+    from quantloom.operators.metrics import running_drawdown
+
+    return panel.prices(spark, sf_dir).select("date", "ticker", r6(running_drawdown(F.col("close"), by_ticker())).alias("drawdown"))
 
 
 @query("w18_lagged_liquidity", with_tables("SELECT date, ticker, round(CASE WHEN u > 0 THEN u ELSE d END, 5) AS liquidity FROM (SELECT date, ticker, close * volume AS d, avg(close * volume) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS u FROM prices)"))
 def w18_lagged_liquidity(spark, sf_dir):
-    dollars = F.col("close") * F.col("volume")
-    usual = F.avg(dollars).over(by_ticker().rowsBetween(-8, -1))
-    return panel.prices(spark, sf_dir).select("date", "ticker", rounded_to(F.when(usual > 0, usual).otherwise(dollars), 5).alias("liquidity"))
+    return panel.prices(spark, sf_dir).select("date", "ticker", rounded_to(backtest.usual_liquidity(F.col("close") * F.col("volume"), 8), 5).alias("liquidity"))
 
 
 @query("p12_target_shares", "SELECT o_orderkey, CASE WHEN o_totalprice <= 0 THEN 0 ELSE floor(1e6 / o_totalprice) END AS shares FROM orders")
@@ -117,11 +115,10 @@ def j20_requested_tickers(spark, sf_dir):
     return asked.join(known, "ticker", "left_semi").withColumn("known", F.lit(True)).unionByName(asked.join(known, "ticker", "left_anti").withColumn("known", F.lit(False)))
 
 
-@query("a12_hit_rate", "SELECT event_type, round(avg(CAST(sign(value - 50) = sign(user_id % 7 - 3) AS DOUBLE)), 6) AS hit_rate FROM events WHERE user_id % 7 <> 3 GROUP BY event_type")
+@query("a12_hit_rate", "SELECT event_type, round(avg(CASE WHEN user_id % 7 <> 3 THEN CAST(sign(value - 50) = sign(user_id % 7 - 3) AS DOUBLE) END), 6) AS hit_rate FROM events GROUP BY event_type")
 def a12_hit_rate(spark, sf_dir):
-    e = panel.table(spark, sf_dir, "events").where("user_id % 7 <> 3")
-    same = (F.signum(F.col("value") - 50) == F.signum((F.col("user_id") % 7 - 3).cast("double"))).cast("double")
-    return rounded(e.groupBy("event_type").agg(F.avg(same).alias("hit_rate")))
+    e = panel.table(spark, sf_dir, "events")
+    return rounded(e.groupBy("event_type").agg(research.hit_rate((F.col("user_id") % 7 - 3).cast("double"), F.col("value") - 50).alias("hit_rate")))
 
 
 @query("a18_status_counts", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
@@ -129,18 +126,6 @@ def a18_status_counts(spark, sf_dir):
     return panel.table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("a19_pivot_weights", "SELECT CAST(year(o_orderdate) AS INT) AS year, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1")
-def a19_pivot_weights(spark, sf_dir):
-    counted = panel.table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("o_orderkey"))
-    return counted.fillna(0)
-
-
-@query("a21_incident_severity", "SELECT event_type, CASE WHEN count(*) FILTER (value > 95) > 40 THEN 'critical' WHEN count(*) FILTER (value > 90) > 0 THEN 'warning' ELSE 'ok' END AS severity FROM events GROUP BY 1")
-def a21_incident_severity(spark, sf_dir):
-    level = F.when(F.count_if(F.col("value") > 95) > 40, "critical").when(F.count_if(F.col("value") > 90) > 0, "warning").otherwise("ok")
-    return panel.table(spark, sf_dir, "events").groupBy("event_type").agg(level.alias("severity"))
-
-
 @query("a22_ridge_moments", with_tables("SELECT label_available_date, CAST(count(*) AS DOUBLE) AS n, round(sum(ret_5), 5) AS s_0, round(sum(future_return), 5) AS s_1, round(sum(ret_5 * future_return), 5) AS p_0_1 FROM (SELECT ret_5, lead(close, 4) OVER w / nullif(close, 0) - 1 AS future_return, lead(date, 4) OVER w AS label_available_date FROM prices_returns WINDOW w AS (PARTITION BY ticker ORDER BY date)) WHERE ret_5 IS NOT NULL AND future_return IS NOT NULL GROUP BY 1"))
 def a22_ridge_moments(spark, sf_dir):
     from quantloom.operators import features
@@ -165,12 +150,6 @@ def d4_lookback_window(spark, sf_dir):
     return o.join(F.broadcast(last), F.to_date("o_orderdate") > F.col("since")).select("o_orderkey")
 
 
-@query("d8_annualised", with_tables("SELECT ticker, round(CASE WHEN g > 0 THEN pow(g, 252e0 / n) - 1 ELSE 0 END, 6) AS cagr FROM (SELECT ticker, CAST(count(*) AS DOUBLE) * 4 AS n, ln(1 + max(close) / min(close)) AS g FROM prices GROUP BY ticker)"))
-def d8_annualised(spark, sf_dir):
-    g = panel.prices(spark, sf_dir).groupBy("ticker").agg((F.count("*").cast("double") * 4).alias("n"), F.ln(1 + F.max("close") / F.min("close")).alias("g"))
-    return g.select("ticker", r6(F.when(F.col("g") > 0, F.pow("g", 252.0 / F.col("n")) - 1).otherwise(0.0)).alias("cagr"))
-
-
 @query("m1_standardise", with_tables("SELECT date, ticker, round((ret_20 - avg(ret_20) OVER ()) / CASE WHEN stddev_pop(ret_20) OVER () = 0 THEN 1 ELSE stddev_pop(ret_20) OVER () END, 6) AS scaled FROM prices_returns WHERE ret_20 IS NOT NULL"))
 def m1_standardise(spark, sf_dir):
     from quantloom.operators import features
@@ -188,8 +167,10 @@ def m5_mse(spark, sf_dir):
 
 @query("x1_clean_names", "SELECT s_suppkey, coalesce(nullif(upper(trim(CASE WHEN s_suppkey % 4 = 0 THEN '  ' ELSE s_name END)), ''), 'UNKNOWN') AS name FROM supplier")
 def x1_clean_names(spark, sf_dir):
+    from quantloom.sources.files import known_name
+
     name = F.when(F.col("s_suppkey") % 4 == 0, "  ").otherwise(F.col("s_name"))
-    return panel.table(spark, sf_dir, "supplier").select("s_suppkey", F.coalesce(F.nullif(F.upper(F.trim(name)), F.lit("")), F.lit("UNKNOWN")).alias("name"))
+    return panel.table(spark, sf_dir, "supplier").select("s_suppkey", F.upper(known_name(name)).alias("name"))
 
 
 @query("x20_first_given", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE o_orderpriority END AS picked FROM orders")
@@ -211,13 +192,6 @@ def x5_truncate(spark, sf_dir):
     return d.select("doc_id", F.left("text", F.lit(120)).alias("head"), (F.char_length("text") > 120).alias("was_cut"))
 
 
-@query("x17_multi_horizon", "SELECT event_id, unnest(['short_term', 'swing', 'long_term']) AS horizon_bucket, CAST(json_extract(props, '$.k') AS BIGINT) * unnest([1, 2, 3]) AS score FROM events")
-def x17_multi_horizon(spark, sf_dir):
-    k = text.json_object(F.concat(F.lit("score: "), "props", F.lit(" end")), "k bigint")["k"]
-    rows = F.inline(F.array(*[F.struct(F.lit(h).alias("horizon_bucket"), (k * m).alias("score")) for h, m in (("short_term", 1), ("swing", 2), ("long_term", 3))]))
-    return panel.table(spark, sf_dir, "events").select("event_id", rows)
-
-
 @query("t5_portfolio_order", with_tables("SELECT effective_date, ticker, row_number() OVER (PARTITION BY effective_date ORDER BY round(avg_dollar_volume_60, 3) DESC, ticker) AS place FROM snapshots"))
 def t5_portfolio_order(spark, sf_dir):
     from quantloom.plans.research import snapshots
@@ -260,11 +234,6 @@ def q9_gradient_trees(spark, sf_dir):
     return spark.read.schema(out).parquet(*paths) if paths else spark.createDataFrame([], out)
 
 
-@query("q38_kr_backtest", with_tables("SELECT date, round(ret_1, 6) AS ret_1, ticker FROM kr_p WHERE ret_1 IS NOT NULL", **_KR))
-def q38_kr_backtest(spark, sf_dir):
-    return rounded(_kr_features(spark, sf_dir).where("ret_1 is not null").select("date", "ret_1", "ticker"))
-
-
 _KR_RUN = {
     "kr_ends": "SELECT max(date) AS date FROM kr_prices GROUP BY date_trunc('month', date)",
     "kr_scored": f"""SELECT date, ticker, avg_dollar_volume_20, {_kz('ret_20')} * 1e0 + {_kz('ret_5')} * 0.35e0 + {_kz('vol_20')} * -0.25e0 + {_kz('earnings_filing_count_60')} * 0.30e0 + {_kz('capital_event_count_60')} * -0.20e0 AS score FROM (
@@ -291,17 +260,6 @@ def q38_kr_research_backtest(spark, sf_dir):
     return rounded(days.drop("impact_cost", "max_participation"))
 
 
-@query("q32_compare_summaries", with_tables("SELECT CAST(year(date) AS INT) AS year, round(sum(gross_return), 6) AS gross, round(sum(net_return), 6) AS net, round(sum(gross_return) - sum(net_return), 6) AS drag FROM bt GROUP BY 1"))
-def q32_compare_summaries(spark, sf_dir):
-    days = backtest_days(spark, sf_dir)
-    return rounded(days.groupBy(F.year("date").alias("year")).agg(F.sum("gross_return").alias("gross"), F.sum("net_return").alias("net"), (F.sum("gross_return") - F.sum("net_return")).alias("drag")))
-
-
-@query("w16_rolling_sums", with_tables("SELECT date, ticker, sum(volume) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS volume_20 FROM prices"))
-def w16_rolling_sums(spark, sf_dir):
-    return panel.prices(spark, sf_dir).select("date", "ticker", rolling(F.sum, F.col("volume"), 20, 1).alias("volume_20"))
-
-
 @query("x13_section_weights", "SELECT section, CASE section WHEN 'item_2_02' THEN 1.6 WHEN 'mda' THEN 1.0 WHEN 'risk_factors' THEN 0.5 ELSE 1.0 END::DOUBLE AS weight FROM (VALUES ('item_2_02'), ('mda'), ('risk_factors'), ('none')) AS t(section)")
 def x13_section_weights(spark, sf_dir):
     s = spark.createDataFrame([("item_2_02",), ("mda",), ("risk_factors",), ("none",)], "section string")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-from quantloom.operators import korea, signals, text
+from quantloom.operators import filings, korea, signals, text
 from quantloom.plans.research import ORACLE_SQL as _PARENT_SQL
 from quantloom.plans.research import QUERIES as _PARENT
 from quantloom.plans.research import query, rounded
@@ -27,21 +27,34 @@ def _hits(words) -> str:
     return " + ".join(f"CAST(contains(lower(t), '{w}') AS INT)" for w in words)
 
 
+#: Sentences that hold one of these are left out of scores; two pieces of the invented prose.
+MARKERS = ("hand", "queda")
+
+
+def _sane(t: str) -> str:
+    """A text without the sentences that hold a marker; itself if none is left."""
+    parts = rf"string_split_regex(regexp_replace({t}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+    kept = " AND ".join([f"NOT contains(lower(x), '{m}')" for m in MARKERS])
+    return f"coalesce(nullif(trim(array_to_string(list_filter({parts}, lambda x: trim(x) <> '' AND {kept}), ' ')), ''), {t})"
+
+
 _TEXT = {
     "scored_docs": f"""SELECT *, greatest(-1, least(1, (pos - neg) / 4e0)) AS score, greatest(0.35e0, least(0.95e0, 0.35e0 + 0.08e0 * (pos + neg + risk))) AS confidence,
         greatest(0, least(1, 0.10e0 + 0.10e0 * risk)) AS risk_flag FROM (
-        SELECT doc_id, lang, source, t, {_hits(POSITIVE)} AS pos, {_hits(NEGATIVE)} AS neg, {_hits(RISK)} AS risk FROM (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents))""",
+        SELECT doc_id, lang, source, t, {_hits(POSITIVE)} AS pos, {_hits(NEGATIVE)} AS neg, {_hits(RISK)} AS risk FROM (
+            SELECT doc_id, lang, source, {_sane("t")} AS t FROM (SELECT doc_id, lang, source, 'Report of ' || source || ' ' || coalesce(text, '') AS t FROM documents)))""",
     "adjusted": "SELECT *, score * (1 - 0.5e0 * risk_flag) AS adjusted_score, score * (1 - 0.5e0 * risk_flag) * greatest(confidence, 0.05e0) AS effective_score FROM scored_docs",
 }
 
 
 def _scored(spark, sf_dir) -> DataFrame:
-    return text.keyword_scores(_docs(spark, sf_dir), "text", POSITIVE, NEGATIVE, RISK)
+    titled = _docs(spark, sf_dir).withColumn("title", F.concat(F.lit("Report of "), "source"))
+    return text.keyword_scores(titled, "text", POSITIVE, NEGATIVE, RISK, MARKERS)
 
 
 @query("x13_keyword_scores", with_tables("SELECT doc_id, pos AS positive_hits, neg AS negative_hits, risk AS risk_hits, round(score, 6) AS score, round(confidence, 6) AS confidence, round(risk_flag, 6) AS risk_flag FROM scored_docs", **_TEXT))
 def x13_keyword_scores(spark, sf_dir):
-    return rounded(_scored(spark, sf_dir).drop("text", "lang", "source"))
+    return rounded(_scored(spark, sf_dir).drop("text", "lang", "source", "title"))
 
 
 @query("p15_normalised_scores", with_tables("SELECT doc_id, round(adjusted_score, 6) AS adjusted_score, round(effective_score, 6) AS effective_score FROM adjusted", **_TEXT))
@@ -58,11 +71,11 @@ def _sectioned(spark, sf_dir) -> DataFrame:
 
 
 @query("q25_horizon_scores", with_tables("""SELECT doc_id, horizon_bucket, section_type, round(greatest(-1, least(1, CASE WHEN section_type = 'risk_factors' THEN least(score, -0.2e0) ELSE score END * m)), 6) AS score FROM (
-    SELECT doc_id, score, section_type, unnest(['short_term', 'swing', 'long_term']) AS horizon_bucket, unnest(CASE WHEN section_type = 'item_2_02' OR contains(lower(t), 'earnings') THEN [1.2e0, 1e0, 0.8e0]
+    SELECT doc_id, score, section_type, unnest(['short_term', 'swing', 'long_term']) AS horizon_bucket, unnest(CASE WHEN section_type = 'item_2_02' OR contains(lower(t), 'tation') THEN [1.2e0, 1e0, 0.8e0]
         WHEN section_type = 'forward_guidance' THEN [0.9e0, 1.2e0, 1e0] WHEN section_type = 'risk_factors' THEN [0.7e0, 0.9e0, 1.1e0] WHEN section_type = 'liquidity' THEN [0.8e0, 1e0, 1.1e0] ELSE [1e0, 1e0, 1e0] END) AS m
     FROM (SELECT *, ['item_2_02', 'mda', 'forward_guidance', 'liquidity', 'risk_factors', 'other'][doc_id % 6 + 1] AS section_type FROM scored_docs))""", **_TEXT))
 def q25_horizon_scores(spark, sf_dir):
-    return rounded(text.horizon_scores(_sectioned(spark, sf_dir)).select("doc_id", "horizon_bucket", "section_type", "score"))
+    return rounded(text.horizon_scores(_sectioned(spark, sf_dir), "text", MARKERS, "tation").select("doc_id", "horizon_bucket", "section_type", "score"))
 
 
 @query("a5_section_weighted_mean", with_tables("""SELECT lang AS ticker, round(greatest(-1, least(1, sum(adjusted_score * confidence * w) / sum(confidence * w))), 6) AS llm_score, count(DISTINCT doc_id) AS document_count, round(avg(confidence), 6) AS avg_confidence, round(avg(risk_flag), 6) AS avg_risk_flag
@@ -111,15 +124,34 @@ def x23_slug(spark, sf_dir):
     return panel.table(spark, sf_dir, "pages").select("page_id", text.slug(F.col("url")).alias("slug"))
 
 
-@query("x27_json_round_trip", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def x27_json_round_trip(spark, sf_dir):
-    return panel.table(spark, sf_dir, "events").select("event_id", text.json_object(F.col("props"), "k bigint")["k"].alias("k"))
-
-
-@query("x18_messages", "SELECT conv_id, turn, concat_ws(chr(10), 'role: ' || role, CASE WHEN length(text) > 200 THEN NULL ELSE 'text: ' || text END) AS message FROM conversations")
+@query("x18_messages", """SELECT conv_id, turn, 'Ticker: ' || role || chr(10) || 'Date: 2000-01-03' || chr(10) || 'Document type: chat' || chr(10) || 'Source: unknown' || CASE WHEN turn % 2 = 0 THEN chr(10) || 'Form: F' || turn ELSE '' END
+    || chr(10) || 'Title: Turn ' || turn || chr(10) || chr(10) || 'Document text:' || chr(10) || trim(coalesce(text, '')) || chr(10) AS content, 'system,user' AS roles FROM conversations""")
 def x18_messages(spark, sf_dir):
     t = panel.table(spark, sf_dir, "conversations")
-    return t.select("conv_id", "turn", F.concat_ws("\n", F.concat(F.lit("role: "), "role"), F.when(F.char_length("text") <= 200, F.concat(F.lit("text: "), "text"))).alias("message"))
+    form = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("F"), F.col("turn").cast("string"))).otherwise(" ")
+    docs = t.select("conv_id", "turn", F.col("role").alias("ticker"), F.lit("2000-01-03").cast("date").alias("date"), F.lit("chat").alias("doc_type"), form.alias("form"), F.concat(F.lit(" Turn "), F.col("turn").cast("string")).alias("title"), "text")
+    m = filings.messages(docs, "Score this.")
+    return m.select("conv_id", "turn", F.col("messages")[1]["content"].alias("content"), F.array_join(F.transform("messages", lambda x: x["role"]), ",").alias("roles"))
+
+
+@query("x17_multi_horizon", """SELECT event_id, horizon_bucket, round(greatest(-1, least(1, CASE WHEN event_id % 2 = 0 THEN v / 50 ELSE v / 100 * m END)), 6) AS score, round(greatest(0, least(1, v / 90)), 6) AS confidence, substr('note ' || event_id, 1, 240) AS summary
+    FROM (SELECT event_id, floor(100 * value + 0.5) / 100e0 AS v, unnest(['short_term', 'swing', 'long_term']) AS horizon_bucket, unnest([1, 2, -1]) AS m FROM events)""")
+def x17_multi_horizon(spark, sf_dir):
+    """Answers of one score for all horizons, and of one object a horizon, with words around the JSON."""
+    v = F.floor(100 * F.col("value") + 0.5) / 100.0
+    note = F.concat(F.lit("note "), F.col("event_id").cast("string"))
+    one = lambda score: F.struct(score.alias("score"), (v / 90).alias("confidence"), F.lit(0.1).alias("risk_flag"), note.alias("summary"))
+    many = F.struct(one(v / 100).alias("short_term"), one(v / 100 * 2).alias("swing"), one(v / 100 * -1).alias("long_term"))
+    answer = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Here: "), F.to_json(one(v / 50)), F.lit(" done"))).otherwise(F.to_json(many))
+    scored = filings.answer_scores(panel.table(spark, sf_dir, "events").select("event_id", answer.alias("answer")))
+    return rounded(scored.select("event_id", "horizon_bucket", "score", "confidence", "summary"))
+
+
+@query("x16_json_object", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def x16_json_object(spark, sf_dir):
+    """The object inside of other words."""
+    around = F.concat(F.lit("the answer is\n"), "props", F.lit("\nas asked"))
+    return panel.table(spark, sf_dir, "events").select("event_id", text.json_object(around, "k bigint")["k"].alias("k"))
 
 
 @query("x2_html_text")
@@ -128,13 +160,159 @@ def x2_html_text(spark, sf_dir):
     return text.pages_text(panel.table(spark, sf_dir, "pages"))
 
 
-@query("q24_scoring_documents")
+# --- filings ---------------------------------------------------------------
+
+_LONG_HEADING = "Management's Discussion and Analysis of Financial Condition and Results of Operations"
+
+
+def _filings(spark, sf_dir) -> DataFrame:
+    """Filings of four forms around the documents: the whole text stands in every part."""
+    t, lit = F.coalesce("text", F.lit("")), F.lit
+    current = F.concat(lit("Item 2.02 Results. "), t, lit(" Item 7.01. Other. "), t, lit(" item 8.01 More notes due. "), t, lit(" Item 9.01 Exhibits Item 2.02 short SIGNATURES "), t)
+    parts = lambda a, b, c: F.concat(
+        lit(f"Item 1A. Risk Factors see below {a} {_LONG_HEADING} "), t, lit(" Liquidity and Capital Resources We expect more of it. "), t, lit(f" {b} x "), t, lit(" Item 1A: Risk Factors "), t, lit(f" {c} Exhibits Signature "), t
+    )
+    body = (
+        F.when(F.col("doc_id") % 4 == 0, current)
+        .when(F.col("doc_id") % 4 == 1, parts("Item 2.", "Item 3.", "Item 6"))
+        .when(F.col("doc_id") % 4 == 2, parts("Item 7.", "Item 7A.", "Item 9B"))
+        .otherwise(F.concat(lit("Item 7. "), t))
+    )
+    form = F.element_at(F.array(*map(lit, ("8-K", "10-Q", "10-K", "S-1"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return _docs(spark, sf_dir).select(
+        "doc_id", lit("2000-01-03").cast("date").alias("date"), F.col("source").alias("ticker"), form.alias("form"), lit("2.02, 7.01; 8.01 9.01").alias("items"),
+        F.col("doc_id").cast("string").alias("accession_number"), lit("https://x/").alias("url"), F.col("source").alias("company_name"), F.col("lang").alias("raw_title"), body.alias("raw_text"),
+    )
+
+
+_SPACES = r"[ \t\n\r\x0B\f]+"
+
+
+def _cut(t: str, heading: str) -> str:
+    """A text split where a heading begins and at the signatures; the mark is a control character."""
+    return rf"string_split(regexp_replace(regexp_replace({t}, '(?i)\b({heading})', chr(1) || '\1', 'g'), '(?i)\bSIGNATURES?\b', chr(1), 'g'), chr(1))"
+
+
+def _longest_of(pieces: str, begins: str) -> str:
+    lines = rf"list_transform(list_filter({pieces}, lambda x: regexp_matches(x, '(?i){begins}')), lambda x: trim(regexp_replace(x, '{_SPACES}', ' ', 'g')))"
+    return f"coalesce(list_reduce({lines}, lambda a, x: CASE WHEN length(x) > length(a) THEN x ELSE a END, ''), '')"
+
+
+_ITEMS = r"Item\s+(?:1A|1B|2|3|4|5|6|7|7A|8|9|9A|9B|10|11|12|13|14|15)\b"
+_BEFORE_FIRST = r"length(regexp_replace({}, '(?s){}.*$', ''))"
+
+
+def _sections_sql() -> dict[str, str]:
+    liquid = "Liquidity and Capital Resources"
+    block = lambda item: _longest_of(_cut("raw_text", _ITEMS), rf"^Item\s+{item}[.:\-\s]")
+    heading = _LONG_HEADING.replace("'", "''?")
+    # In a piece between boundaries, what stands before its first heading goes.
+    mda = lambda ends: _longest_of(rf"list_transform({_cut('raw_text', ends)}, lambda x: regexp_extract(x, '(?is)({heading}.*)', 1))", "^Manage")
+    # Word borders beyond ASCII are spelled out, as this engine's own know ASCII only.
+    title = r"(^|[^\p{L}\p{N}_])[A-Z][A-Za-z/&,\-\s]{7,79}(?:[A-Za-z](?:$|[^\p{L}\p{N}_])|[/&,\-\s][\p{L}\p{N}_])"
+    ends = [
+        rf"CASE WHEN regexp_matches(beyond, '{title}') THEN length(regexp_replace(beyond, '(?s){title}.*$', '\1')) END",
+        rf"CASE WHEN regexp_matches(rest, '(?i)\bControls and Procedures\b') THEN {_BEFORE_FIRST.format('rest', '(?i)' + chr(92) + 'bControls and Procedures' + chr(92) + 'b')} END",
+    ]
+    least = ", ".join(f"CASE WHEN {e} > 200 THEN {e} END" for e in ends)
+    words = " OR ".join(f"contains(lower(x), '{w}')" for w in text.GUIDANCE)
+    gone = " OR ".join(f"contains(lower(x), '{w}')" for w in text.BOILERPLATE)
+    said = rf"list_transform(string_split_regex(regexp_replace(mda, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x))"
+    return {
+        "filed": f"""SELECT doc_id, ['8-K', '10-Q', '10-K', 'S-1'][doc_id % 4 + 1] AS form, CASE doc_id % 4
+            WHEN 0 THEN 'Item 2.02 Results. ' || t || ' Item 7.01. Other. ' || t || ' item 8.01 More notes due. ' || t || ' Item 9.01 Exhibits Item 2.02 short SIGNATURES ' || t
+            WHEN 3 THEN 'Item 7. ' || t
+            ELSE 'Item 1A. Risk Factors see below ' || CASE doc_id % 4 WHEN 1 THEN 'Item 2.' ELSE 'Item 7.' END || ' {_LONG_HEADING.replace("'", "''")} ' || t || ' Liquidity and Capital Resources We expect more of it. ' || t
+                || CASE doc_id % 4 WHEN 1 THEN ' Item 3.' ELSE ' Item 7A.' END || ' x ' || t || ' Item 1A: Risk Factors ' || t || CASE doc_id % 4 WHEN 1 THEN ' Item 6' ELSE ' Item 9B' END || ' Exhibits Signature ' || t END AS raw_text
+            FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+        "item_parts": " UNION ALL ".join(rf"SELECT doc_id, 'item_{i.replace('.', '_')}' AS section_type, '{i}' AS items, {_longest_of(_cut('raw_text', chr(73) + 'tem' + chr(92) + 's+' + chr(92) + 'd+' + chr(92) + '.' + chr(92) + 'd+' + chr(92) + 'b'), '^Item' + chr(92) + 's+' + i.replace('.', '[.]') + chr(92) + 'b')} AS text FROM filed WHERE form = '8-K'" for i in text.ALLOWED_ITEMS),
+        "found_mda": rf"SELECT doc_id, form, raw_text, CASE form WHEN '10-Q' THEN {mda(r'Item\s+(?:3|4)' + chr(92) + 'b')} ELSE {mda(r'Item\s+(?:7A|8)' + chr(92) + 'b')} END AS found FROM filed WHERE form IN ('10-Q', '10-K')",
+        "mdas": f"SELECT doc_id, form, raw_text, CASE WHEN found <> '' THEN found WHEN form = '10-Q' THEN {block('2')} ELSE {block('7')} END AS mda FROM found_mda",
+        "rests": f"SELECT *, mda[strpos(lower(mda), lower('{liquid}')):] AS rest, mda[strpos(lower(mda), lower('{liquid}')) + {len(liquid) + 50}:] AS beyond FROM mdas",
+        "periodic_parts": f"""SELECT doc_id, 'mda' AS section_type, mda AS text FROM mdas WHERE length(mda) >= 250
+            UNION ALL SELECT doc_id, 'liquidity', trim(regexp_replace(rest[:least(4000, {least})], '{_SPACES}', ' ', 'g')) FROM rests WHERE length(mda) >= 250 AND strpos(lower(mda), lower('{liquid}')) > 0
+            UNION ALL SELECT doc_id, 'forward_guidance', trim(array_to_string(list_filter({said}, lambda x: length(x) >= 40 AND ({words}) AND NOT ({gone}))[1:8], ' ')) FROM mdas WHERE length(mda) >= 250
+            UNION ALL SELECT doc_id, 'risk_factors', {block('1A')} FROM mdas""",
+        "sections": f"""SELECT doc_id, section_type, text FROM item_parts WHERE length(text) >= 250 AND NOT (items = '8.01' AND ({' OR '.join("contains(lower(text), '" + n.replace("'", "''") + "')" for n in text.NOISE)}))
+            UNION ALL SELECT * FROM periodic_parts WHERE length(text) >= CASE section_type WHEN 'mda' THEN 250 WHEN 'risk_factors' THEN 150 ELSE 125 END""",
+    }
+
+
+_FILED = _sections_sql()
+
+
+@query("q24_scoring_documents", with_tables("SELECT CAST(doc_id AS VARCHAR) || '::' || section_type AS section_id, form, length(text) AS chars, md5(text) AS digest FROM sections JOIN filed USING (doc_id)", **_FILED))
 def q24_scoring_documents(spark, sf_dir):
-    """Sections of filings that are wrapped around the documents; lookahead patterns, so rows only."""
-    docs = _docs(spark, sf_dir)
-    body = F.concat(F.lit("Item 2.02 Results. "), "text", F.lit(" Item 7.01 Other. "), "text", F.lit(" SIGNATURES"))
-    filings = docs.select(F.lit("2000-01-03").cast("date").alias("date"), F.col("source").alias("ticker"), F.lit("8-K").alias("form"), F.lit("2.02, 7.01").alias("items"), F.col("doc_id").cast("string").alias("accession_number"), body.alias("raw_text"))
-    return text.scoring_documents(filings)
+    s = filings.scoring_documents(_filings(spark, sf_dir))
+    return s.select("section_id", "form", F.char_length("text").alias("chars"), F.md5("text").alias("digest"))
+
+
+def _digest(name: str) -> list:
+    return [F.char_length(name).alias("chars"), F.md5(F.col(name)).alias("digest")]
+
+
+@query("x7_item_sections", with_tables("SELECT doc_id, items, length(text) AS chars, md5(text) AS digest FROM item_parts", **_FILED))
+def x7_item_sections(spark, sf_dir):
+    f = _filings(spark, sf_dir).where("form = '8-K'")
+    each = F.array(*[F.struct(F.lit(i).alias("items"), filings.item_section(F.col("raw_text"), i).alias("t")) for i in text.ALLOWED_ITEMS])
+    return f.select("doc_id", F.inline(each)).select("doc_id", "items", *_digest("t"))
+
+
+@query("x8_discussion", with_tables("SELECT doc_id, length(mda) AS chars, md5(mda) AS digest FROM mdas", **_FILED))
+def x8_discussion(spark, sf_dir):
+    f = _filings(spark, sf_dir).where("form in ('10-Q', '10-K')")
+    own = F.when(F.col("form") == "10-Q", filings.discussion(F.col("raw_text"), "10-Q")).otherwise(filings.discussion(F.col("raw_text"), "10-K"))
+    return f.select("doc_id", own.alias("t")).select("doc_id", *_digest("t"))
+
+
+@query("x9_liquidity", with_tables("SELECT doc_id, length(text) AS chars, md5(text) AS digest FROM periodic_parts WHERE section_type = 'liquidity'", **_FILED))
+def x9_liquidity(spark, sf_dir):
+    f = _filings(spark, sf_dir).where("form in ('10-Q', '10-K')")
+    own = F.when(F.col("form") == "10-Q", filings.discussion(F.col("raw_text"), "10-Q")).otherwise(filings.discussion(F.col("raw_text"), "10-K"))
+    cut = f.select("doc_id", own.alias("mda")).where("char_length(mda) >= 250").select("doc_id", filings.named_subsection(F.col("mda"), "Liquidity and Capital Resources").alias("t"))
+    return cut.select("doc_id", *_digest("t"))
+
+
+@query("x11_guidance", rf"""SELECT doc_id, trim(array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)),
+    lambda x: length(x) >= 40 AND (contains(lower(x), 'tion') OR contains(lower(x), 'ung')) AND NOT contains(lower(x), 'hand'))[1:8], ' ')) AS guidance FROM documents""")
+def x11_guidance(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", filings.guidance_sentences(F.coalesce("text", F.lit("")), ("tion", "ung"), ("hand",)).alias("guidance"))
+
+
+@query("x12_without_boilerplate", f"SELECT doc_id, md5({_sane('t')}) AS digest FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+def x12_without_boilerplate(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(text.without_boilerplate(F.coalesce("text", F.lit("")), MARKERS)).alias("digest"))
+
+
+@query("x3_normalise_unicode", "SELECT doc_id, md5(replace(replace(coalesce(text, '') || 'ﬁve ①’s — ok', '’', chr(39)), '—', '-').replace('ﬁ', 'fi').replace('①', '1')) AS digest FROM documents")
+def x3_normalise_unicode(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(filings.normalise_unicode(F.concat(F.coalesce("text", F.lit("")), F.lit("ﬁve ①’s — ok")))).alias("digest"))
+
+
+@query("f10_item_filters", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS allowed, doc_id % 3 <> 2 AND NOT (doc_id % 2 = 0 AND doc_id % 3 = 1) AND length(coalesce(text, '')) >= 250 AS passes FROM documents")
+def f10_item_filters(spark, sf_dir):
+    """Items that may be scored, and whether the one section passes: long enough, and no noise in item 8.01."""
+    named = F.element_at(F.array(F.lit("2.02, 7.01 9.01"), F.lit("8.01; 1.01"), F.lit("5.02")), (F.col("doc_id") % 3 + 1).cast("int"))
+    d = _docs(spark, sf_dir).withColumn("item_list", text.items(named))
+    body = F.concat(F.coalesce("text", F.lit("")))
+    first = F.get(F.filter("item_list", lambda i: i.isin(*text.ALLOWED_ITEMS)), F.lit(0))
+    raw = F.concat(F.lit("Item "), F.coalesce(first, F.lit("0.00")), F.lit(" "), F.when(F.col("doc_id") % 2 == 0, "notes due ").otherwise("notes do "), body)
+    sections = filings.current_sections(raw, F.array(first), F.lit("8-K"), 250 + 20)
+    allowed = F.size(F.filter("item_list", lambda i: i.isin(*text.ALLOWED_ITEMS)))
+    return d.select("doc_id", allowed.alias("allowed"), (F.size(sections) > 0).alias("passes"))
+
+
+@query("f9_recent_filings", "SELECT o_orderkey, 'https://www.sec.gov/Archives/edgar/data/' || o_custkey || '/' || o_orderkey || '00/' || o_orderkey || '00.txt' AS url, o_orderpriority || ' filing' AS title FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey || '-00' DESC) AS nth FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderdate >= DATE '1994-01-01') WHERE nth <= 2")
+def f9_recent_filings(spark, sf_dir):
+    o = panel.table(spark, sf_dir, "orders")
+    f = o.select("o_orderkey", F.col("o_custkey").cast("string").alias("ticker"), F.col("o_custkey").cast("long").alias("cik"), F.col("o_orderpriority").alias("form"), F.to_date("o_orderdate").alias("filing_date"),
+                 F.concat(F.col("o_orderkey").cast("string"), F.lit("-00")).alias("accession_number"), F.lit(" ").alias("primary_document"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("items"))
+    return filings.recent_filings(f, ("1-URGENT", "2-HIGH"), "1994-01-01", 2).select("o_orderkey", "url", "title")
+
+
+@query("x24_urls", "SELECT o_orderkey, 'https://data.sec.gov/submissions/CIK' || lpad(CAST(o_custkey AS VARCHAR), 10, '0') || '.json' AS submissions, 'https://dart.fss.or.kr/dsaf001/main.do?rcpNo=' || o_orderkey AS receipt FROM orders")
+def x24_urls(spark, sf_dir):
+    return panel.table(spark, sf_dir, "orders").select("o_orderkey", filings.submissions_url(F.col("o_custkey")).alias("submissions"), korea.receipt_url(F.col("o_orderkey").cast("string")).alias("receipt"))
 
 
 # --- Korean lane -----------------------------------------------------------

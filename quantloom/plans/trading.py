@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import r6, rounded_to
-from quantloom.operators import metrics, models, portfolio, research, strategy
+from quantloom.operators import broker, metrics, models, portfolio, research, strategy
 from quantloom.plans.research import (
     PICK,
     all_features,
@@ -19,6 +19,7 @@ from quantloom.plans.research import (
 from quantloom.plans.research import ORACLE_SQL as _PARENT_SQL
 from quantloom.plans.research import QUERIES as _PARENT
 from quantloom.plans.sql import with_tables
+from quantloom.shared import stage_table
 from quantloom.sources import panel
 
 _BEFORE = set(_PARENT)
@@ -34,9 +35,9 @@ def _portfolio(spark, sf_dir) -> DataFrame:
 
 
 def _positions(spark, sf_dir) -> DataFrame:
-    """Invented holdings: suppliers whose number is a multiple of 7."""
+    """Invented holdings of every supplier."""
     key = F.substring("ticker", 2, 20).cast("int")
-    return panel.metadata(spark, sf_dir).where(key % 7 == 0).select("ticker", (key % 50 + 10).cast("double").alias("shares"))
+    return panel.metadata(spark, sf_dir).select("ticker", (key % 50 + 10).cast("double").alias("shares"))
 
 
 _TABLES = {
@@ -45,14 +46,17 @@ _TABLES = {
         floor(target_weight * 1e6 / close) * close AS target_notional_after_rounding FROM (
         SELECT *, CASE WHEN total > 0.95e0 THEN cut * 0.95e0 / total ELSE cut END AS target_weight FROM (
             SELECT *, least(0.20e0, weight) AS cut, sum(least(0.20e0, weight)) OVER () AS total FROM port_raw))""",
-    "held": "SELECT ticker, CAST(substr(ticker, 2)::INT % 50 + 10 AS DOUBLE) AS shares FROM metadata WHERE substr(ticker, 2)::INT % 7 = 0",
+    "held": "SELECT ticker, CAST(substr(ticker, 2)::INT % 50 + 10 AS DOUBLE) AS shares FROM metadata",
     "lastp": f"SELECT ticker, max_by(close, date) AS close FROM prices WHERE date <= DATE '{AS_OF}' GROUP BY ticker",
     "ord": """SELECT date, ticker, CASE WHEN n > 0 THEN 'BUY' ELSE 'SELL' END AS side, n AS order_shares, close, abs(n) * close AS trade_notional, target_weight, tn AS target_notional_after_rounding FROM (
         SELECT (SELECT max(date) FROM port) AS date, coalesce(h.ticker, t.ticker) AS ticker, coalesce(t.target_shares, 0) - coalesce(h.shares, 0) AS n, coalesce(t.close, l.close, 0) AS close,
             coalesce(t.target_weight, 0) AS target_weight, coalesce(t.target_notional_after_rounding, 0) AS tn
         FROM held h FULL JOIN port t ON h.ticker = t.ticker LEFT JOIN lastp l ON l.ticker = coalesce(h.ticker, t.ticker)) WHERE n <> 0 AND abs(n) * close >= 250""",
-    "queue": """SELECT row_number() OVER (ORDER BY CASE WHEN side = 'SELL' THEN 0 ELSE 1 END, o.ticker) AS rank, o.ticker, o.side, abs(order_shares) AS requested, o.close AS price, coalesce(h.shares, 0) AS have
-        FROM ord o LEFT JOIN held h ON h.ticker = o.ticker""",
+    # Each order twice: as it is, and once more for half of it. Sells come first, so what a second sell may take is what the first left.
+    "twice": "SELECT *, 1 AS seq, abs(order_shares) AS requested FROM ord UNION ALL SELECT *, 2, ceil(abs(order_shares) / 2) FROM ord",
+    "queue": """SELECT row_number() OVER (ORDER BY CASE WHEN side = 'SELL' THEN 0 ELSE 1 END, o.ticker, seq) AS rank, o.ticker, o.side, requested, coalesce(l.close, 0) AS price,
+        CASE WHEN side = 'SELL' THEN greatest(0, coalesce(h.shares, 0) - CASE WHEN seq = 2 THEN abs(order_shares) ELSE 0 END) END AS have
+        FROM twice o LEFT JOIN held h ON h.ticker = o.ticker LEFT JOIN lastp l ON l.ticker = o.ticker""",
     "path": """SELECT CAST(0 AS BIGINT) AS rank, '' AS ticker, '' AS side, 0e0 AS requested, 0e0 AS filled, 0e0 AS price, 200000e0 AS cash
         UNION ALL SELECT rank, ticker, side, requested, filled, price, cash + CASE WHEN side = 'SELL' THEN filled * price * (1 - 0.001e0) ELSE -(filled * price) * (1 + 0.001e0) END FROM (
             SELECT q.rank, q.ticker, q.side, q.requested, q.price, p.cash,
@@ -86,7 +90,11 @@ def q19_rebalance_orders(spark, sf_dir):
 
 @query("q26_paper_broker_fills", with_tables("SELECT rank, ticker, side, requested AS requested_shares, filled AS filled_shares, requested - filled AS remaining_shares, round(cash, 4) AS cash_after, CASE WHEN filled <= 0 THEN 'REJECTED' WHEN filled >= requested THEN 'FILLED' ELSE 'PARTIALLY_FILLED' END AS status FROM path WHERE rank > 0", **_TABLES))
 def q26_paper_broker_fills(spark, sf_dir):
-    fills = portfolio.fill_orders(_orders(spark, sf_dir), _positions(spark, sf_dir), 200_000.0, fee_bps=10)
+    orders, _ = stage_table(_orders(spark, sf_dir), "orders")
+    both = orders.withColumn("seq", F.lit(1)).unionByName(orders.withColumns({"seq": F.lit(2), "order_shares": F.ceil(F.abs("order_shares") / 2).cast("double") * F.signum("order_shares")}))
+    # Without a close of its own, an order takes the latest one.
+    latest = portfolio.latest_prices(panel.prices(spark, sf_dir), AS_OF)
+    fills = broker.fill_orders(both.withColumn("close", F.lit(0.0)), _positions(spark, sf_dir), 200_000.0, fee_bps=10, latest=latest)
     return fills.select(F.col("rank").cast("long").alias("rank"), "ticker", "side", "requested_shares", "filled_shares", "remaining_shares", rounded_to(F.col("cash_after"), 4).alias("cash_after"), "status")
 
 
@@ -95,11 +103,13 @@ def q20_next_positions(spark, sf_dir):
     return portfolio.next_positions(_portfolio(spark, sf_dir))
 
 
-@query("q30_reconcile", with_tables("SELECT coalesce(a.ticker, b.ticker) AS ticker, coalesce(a.shares, 0) AS expected_shares, coalesce(b.shares, 0) AS actual_shares, coalesce(b.shares, 0) - coalesce(a.shares, 0) AS share_delta, CASE WHEN abs(coalesce(b.shares, 0) - coalesce(a.shares, 0)) > 1e-6 THEN 'mismatch' ELSE 'ok' END AS status FROM held a FULL JOIN (SELECT ticker, CAST(substr(ticker, 2)::INT % 50 + 10 AS DOUBLE) AS shares FROM metadata WHERE substr(ticker, 2)::INT % 5 = 0) b ON a.ticker = b.ticker", held=_TABLES["held"]))
+@query("q30_reconcile", with_tables("""SELECT ticker, shares AS expected_shares, shares + CASE WHEN substr(ticker, 2)::INT % 5 = 0 THEN 1 ELSE 0 END AS actual_shares, CASE WHEN substr(ticker, 2)::INT % 5 = 0 THEN 1e0 ELSE 0e0 END AS share_delta,
+    CASE WHEN substr(ticker, 2)::INT % 5 = 0 THEN 'mismatch' ELSE 'ok' END AS status FROM held UNION ALL SELECT 'NEW', 0, 3, 3, 'mismatch'""", held=_TABLES["held"]))
 def q30_reconcile(spark, sf_dir):
+    """Every holding against an account that holds a share more of some names, and one name more."""
     key = F.substring("ticker", 2, 20).cast("int")
-    actual = panel.metadata(spark, sf_dir).where(key % 5 == 0).select("ticker", (key % 50 + 10).cast("double").alias("shares"))
-    return portfolio.reconcile(_positions(spark, sf_dir), actual)
+    actual = _positions(spark, sf_dir).withColumn("shares", F.col("shares") + F.when(key % 5 == 0, 1.0).otherwise(0.0))
+    return portfolio.reconcile(_positions(spark, sf_dir), actual.unionByName(spark.createDataFrame([("NEW", 3.0)], "ticker string, shares double")))
 
 
 @query("q28_guardrails", with_tables("SELECT count(*) AS order_count, round(sum(trade_notional), 3) AS total_notional, round(max(trade_notional), 3) AS largest_notional, count(*) <= 50 AND sum(trade_notional) <= 5e5 AND max(trade_notional) <= 3e5 AS allowed FROM ord", **{k: v for k, v in _TABLES.items() if k != "path"}))
@@ -217,12 +227,13 @@ def q8_ridge_walkforward(spark, sf_dir):
     usable = frame.where("eligible_universe and enough_history and has_model_features and has_training_label")
     fitted = models.ridge_models(usable, bounds.select("rebalance_date", "cutoff"), CONFIG.columns, 8.0, CONFIG.min_training)
     live = frame.where("eligible_universe and enough_history and has_model_features")
-    return models.predict_linear(live, fitted, CONFIG.columns).select("date", "ticker", "predicted_return", "train_rows")
+    predicted = models.predict_linear(live, fitted, CONFIG.columns).select("date", "ticker", "trend_ok", "predicted_return", "train_rows")
+    return strategy.weigh_predictions(predicted, PICK).drop("trend_ok")
 
 
 @query("t3_ridge_selection")
 def t3_ridge_selection(spark, sf_dir):
-    return strategy.top_n(q8_ridge_walkforward(spark, sf_dir), "predicted_return", 4).select("date", "ticker", "predicted_return", "rank", "weight")
+    return q8_ridge_walkforward(spark, sf_dir).where("weight > 0").select("date", "ticker", "predicted_return", "rank", "weight")
 
 
 _SEQUENCE = ("ret_5", "ret_20", "rel_ret_20", "vol_20", "drawdown_20", "range_pct_20")
@@ -237,7 +248,8 @@ def _network(name: str, kind: str):
         # Each usable month end is a model of its own.
         bounds = research.split_bounds(frame, month_ends(frame), CONFIG).where("usable")
         usable = frame.where("eligible_universe and enough_history and has_training_label")
-        return models.network_predictions(usable, bounds, kind, frame.where("eligible_universe and enough_history"), clip=0.95)
+        predicted = models.network_predictions(usable, bounds, kind, frame.where("eligible_universe and enough_history"), clip=0.95)
+        return strategy.weigh_predictions(predicted, PICK)
 
 
 for _q, _k in (("q10_mlp", "mlp"), ("q11_tcn", "tcn"), ("q12_hybrid", "hybrid"), ("q13_lstm", "lstm"), ("q14_transformer", "transformer")):

@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 from quantloom.functions.windows import keep_last
 
+# Answers after which a service may be asked again.
+BUSY = (429, 500, 502, 503, 504)
 PRICE_COLUMNS = ("date", "ticker", "open", "high", "low", "close", "volume")
 PRICE_SCHEMA = T.StructType([T.StructField("date", T.StringType()), T.StructField("ticker", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in PRICE_COLUMNS[2:]]])
 
@@ -52,10 +54,15 @@ def save_table(frame: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
     (writer.option("header", True) if fmt == "csv" else writer).save(path)
 
 
+def known_name(name: Column) -> Column:
+    """A name without blanks around it; UNKNOWN for an empty one."""
+    return F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit("UNKNOWN"))
+
+
 def load_metadata(spark: SparkSession, path: str) -> DataFrame:
     """(ticker, sector, industry): unknown sectors named so, one row a ticker."""
     raw = require_columns(spark.read.csv(path, header=True), ("ticker", "sector"), "metadata")
-    named = lambda c: F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit("UNKNOWN")).alias(c) if c in raw.columns else F.lit("UNKNOWN").alias(c)
+    named = lambda c: known_name(F.col(c)).alias(c) if c in raw.columns else F.lit("UNKNOWN").alias(c)
     return keep_last(raw.select(F.upper(F.trim("ticker")).alias("ticker"), named("sector"), named("industry")), ["ticker"], [F.col("sector"), F.col("industry")])
 
 
@@ -173,7 +180,7 @@ def cached_table(spark: SparkSession, root: str, signature: Mapping[str, Any], b
 
 def run_manifest(name: str, config: Any, inputs: Sequence[str] = (), extra: Mapping[str, Any] | None = None) -> dict[str, Any]:
     described = {str(p): {"exists": Path(p).is_file(), "sha256": file_digest(p)} for p in inputs}
-    return {"name": name, "config": plain(config), "config_sha256": payload_digest(config), "inputs": described, **plain(extra or {})}
+    return {"name": name, "config": plain(config), "config_sha256": payload_digest(config), "git": git_state(Path.cwd()), "inputs": described, **plain(extra or {})}
 
 
 def save_manifest(manifest: Mapping[str, Any], path: str | Path, outputs: Sequence[str] = ()) -> dict[str, Any]:
@@ -191,6 +198,103 @@ def save_artifacts(root: str, tables: Mapping[str, DataFrame], fmt: str = "parqu
     return paths
 
 
+def save_research(root: str, features: DataFrame, ranking: DataFrame, weights: DataFrame, equity: DataFrame, summary: DataFrame, fmt: str = "csv", **more: DataFrame) -> dict[str, str]:
+    """Writes the tables of a research run under their standing names; returns the paths."""
+    return save_artifacts(root, {"features": features, "ranking_history": ranking, "target_weights": weights, "equity_curve": equity, "summary": summary, **more}, fmt)
+
+
+def load_report(spark: SparkSession, path: str, dates: Sequence[str] = ("date", "eval_start", "eval_end")) -> DataFrame:
+    """A report's table: its date columns as dates, what looks like a number as one."""
+    raw = spark.read.csv(path, header=True, inferSchema=True)
+    return raw.withColumns({c: F.to_date(c) for c in dates if c in raw.columns})
+
+
+def of_ticker(frame: DataFrame, ticker: str, start: str | None = None, end: str | None = None, horizon: str | None = None) -> DataFrame:
+    """A ticker's rows from start to end, of one horizon if the table tells them apart, in order of date and title."""
+    out = frame.where(F.upper("ticker") == ticker.upper())
+    if start is not None:
+        out = out.where(F.col("date") >= F.to_date(F.lit(start)))
+    if end is not None:
+        out = out.where(F.col("date") <= F.to_date(F.lit(end)))
+    if horizon is not None and "horizon_bucket" in frame.columns:
+        out = out.where(F.col("horizon_bucket") == horizon)
+    return out.orderBy("date", *[c for c in ("title",) if c in frame.columns])
+
+
+def git_state(root: str | Path) -> dict[str, Any]:
+    """Branch, commit and whether files have changed; nulls outside of a repository."""
+    import subprocess
+
+    def ask(*words: str) -> str | None:
+        got = subprocess.run(["git", "-C", str(root), *words], capture_output=True, text=True, check=False)
+        return got.stdout.strip() if got.returncode == 0 else None
+
+    status = ask("status", "--porcelain")
+    return {"branch": ask("rev-parse", "--abbrev-ref", "HEAD"), "commit": ask("rev-parse", "HEAD"), "dirty": None if status is None else bool(status)}
+
+
+@dataclass(frozen=True)
+class MarketData:
+    """What a run reads, and where it came from."""
+
+    prices: DataFrame
+    benchmark: DataFrame
+    metadata: DataFrame | None
+    snapshots: DataFrame | None
+    provenance: dict[str, Any]
+
+
+def market_data(
+    spark: SparkSession,
+    root: str,
+    tickers: Sequence[str],
+    benchmark: str,
+    start: str,
+    end: str | None,
+    fetch: Callable[[str], Iterable[tuple]],
+    metadata_file: str | None = None,
+    snapshots_file: str | None = None,
+    prefer_cache: bool = True,
+) -> MarketData:
+    """Prices and benchmark, stored under the digest of what was asked and of the files beside it, and read again where nothing of that changed.
+
+    The manifest beside them names the query, the inputs' digests, the source
+    (cache or download) and the rows, tickers and dates of both tables.
+    """
+    inputs = {k: {"path": v, "exists": v is not None and Path(v).is_file(), "sha256": file_digest(v) if v else None} for k, v in (("metadata_file", metadata_file), ("snapshots_file", snapshots_file))}
+    query = {"tickers": list(tickers), "benchmark": benchmark, "start": start, "end": end}
+    sign = {"query": query, "inputs": {k: {x: v[x] for x in ("exists", "sha256")} for k, v in inputs.items()}}
+    own = cached_table(spark, f"{root}/prices", sign, lambda: download_prices(spark, tickers, fetch), not prefer_cache)
+    other = cached_table(spark, f"{root}/benchmark", sign, lambda: download_prices(spark, [benchmark], fetch), not prefer_cache)
+    describe = lambda f: plain(frame_summary(f).first().asDict())
+    provenance = {"source": "cache" if own.reused and other.reused else "download", "query": query, "inputs": inputs, "prices_summary": describe(own.frame), "benchmark_summary": describe(other.frame)}
+    tables = (load_metadata(spark, metadata_file) if metadata_file else None), (load_snapshots(spark, snapshots_file) if snapshots_file else None)
+    return MarketData(own.frame, other.frame, *tables, provenance)
+
+
+def refresh_market_data(spark: SparkSession, root: str, manifest_path: str | Path, config: Any, **asked: Any) -> MarketData:
+    """``market_data`` downloaded anew (unless prefer_cache is given), with a manifest of the run."""
+    got = market_data(spark, root, **{"prefer_cache": False, **asked})
+    found = got.provenance
+    extra = {"market_data_source": found["source"], "latest_market_date": found["prices_summary"]["max_date"], "price_rows": found["prices_summary"]["row_count"], "benchmark_rows": found["benchmark_summary"]["row_count"]}
+    save_manifest(run_manifest("refresh_market_data", config, extra=extra), manifest_path)
+    return got
+
+
+def promote(source: str | Path, destination: str | Path, manifest: str) -> Path:
+    """Copies a run's folder and rewrites its manifest's output paths and digests to the copies; a missing manifest is an error."""
+    import shutil
+
+    source, destination = Path(source), Path(destination)
+    if not (source / manifest).is_file():
+        raise FileNotFoundError(f"no manifest to promote: {source / manifest}")
+    shutil.copytree(source, destination, dirs_exist_ok=True)
+    whole = json.loads((destination / manifest).read_text())
+    moved = [str(destination / Path(p).relative_to(source)) if Path(p).is_relative_to(source) else p for p in whole.get("outputs", {})]
+    save_manifest({k: v for k, v in whole.items() if k != "outputs"}, destination / manifest, moved)
+    return destination / manifest
+
+
 def load_env(path: str | Path) -> dict[str, str]:
     """KEY=VALUE lines, with comments and quotes."""
     out: dict[str, str] = {}
@@ -207,6 +311,12 @@ class Config:
 
     tickers: tuple[str, ...] = ()
     start: str = "2018-01-01"
+    end: str | None = None
+    metadata_file: str | None = None
+    snapshots_file: str | None = None
+    eligibility: dict[str, Any] = field(default_factory=dict)
+    llm: dict[str, Any] = field(default_factory=dict)
+    output_dir: str | None = None
     benchmark: str = "SPY"
     strategy: dict[str, Any] = field(default_factory=dict)
     risk: dict[str, Any] = field(default_factory=dict)
@@ -214,18 +324,25 @@ class Config:
 
 
 def load_config(path: str | Path) -> Config:
-    """YAML settings. A ticker file, by a path relative to the settings, wins over the list in them."""
+    """YAML settings; paths in them are relative to their file. A ticker file wins over the tickers of the snapshots, those over the list."""
+    import csv
+
     import yaml
 
     path = Path(path)
     raw = yaml.safe_load(path.read_text()) or {}
+    at = lambda key: str((path.parent / raw[key]).resolve()) if raw.get(key) else None
     tickers = [t.upper() for t in raw.get("tickers", [])]
-    if raw.get("tickers_file"):
-        lines = (path.parent / raw["tickers_file"]).read_text().splitlines()
-        tickers = [t.upper() for line in lines for t in line.split("#")[0].replace(",", " ").split()]
+    if snapshots := at("snapshots_file"):
+        with open(snapshots, newline="") as f:
+            tickers = sorted({r["ticker"].strip().upper() for r in csv.DictReader(f)}) or tickers
+    if own := at("tickers_file"):
+        tickers = [t.upper() for line in Path(own).read_text().splitlines() for t in line.split("#")[0].replace(",", " ").split()]
     if not tickers:
         raise ValueError("the settings name no tickers")
-    return Config(tuple(dict.fromkeys(tickers)), **{k: raw[k] for k in ("start", "benchmark", "strategy", "risk", "backtest") if k in raw})
+    given = {k: raw[k] for k in ("start", "end", "benchmark", "strategy", "risk", "backtest", "eligibility", "llm") if k in raw}
+    paths = {k: at(k) for k in ("metadata_file", "snapshots_file", "output_dir")}
+    return Config(tuple(dict.fromkeys(tickers)), **given, **paths)
 
 
 # --- remote sources, by a client that the caller gives -----------------------
@@ -245,10 +362,48 @@ def with_retry(call: Callable[[], Any], attempts: int = 4, wait: float = 1.0, ag
 
 def download_prices(spark: SparkSession, tickers: Sequence[str], fetch: Callable[[str], Iterable[tuple]], **retry: Any) -> DataFrame:
     """Bars of each ticker from ``fetch(ticker)``: rows (date, open, high, low, close, volume)."""
-    rows = [(str(d), t.upper(), *map(float, bar)) for t in tickers for d, *bar in with_retry(lambda t=t: list(fetch(t)), **retry)]
-    if not rows:
+    # A ticker a task: the bars go from the executor that fetched them to the plan, not through the driver.
+    asked = spark.createDataFrame([(t.upper(),) for t in dict.fromkeys(tickers)], "ticker string").repartition(max(1, len(tickers)), "ticker")
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            rows = [(str(d), t, *map(float, bar)) for t in f["ticker"] for d, *bar in with_retry(lambda t=t: list(fetch(t)), **retry)]
+            yield pd.DataFrame(rows, columns=list(PRICE_COLUMNS))
+
+    from quantloom.shared import stage_table
+
+    # Written once: what a plan reads again must not be fetched again.
+    got, _ = stage_table(asked.mapInPandas(run, PRICE_SCHEMA), "download")
+    if got.isEmpty():
         raise ValueError("no prices were returned")
-    return spark.createDataFrame(rows, PRICE_SCHEMA).withColumn("date", F.to_date("date"))
+    return got.withColumn("date", F.to_date("date"))
+
+
+def page_get(get: Callable[[str], Any], url: str, **retry: Any) -> Any:
+    """The answer of ``get(url)``, asked again on the status codes of a busy service, no sooner than it says.
+
+    An answer has status_code and headers; any other error status is an error.
+    """
+
+    class Busy(Exception):
+        def __init__(self, answer: Any) -> None:
+            super().__init__(f"status {answer.status_code} for {url}")
+            try:
+                self.retry_after = max(float(answer.headers.get("Retry-After")), 0.0)
+            except (TypeError, ValueError):
+                self.retry_after = None
+
+    def once() -> Any:
+        answer = get(url)
+        if answer.status_code in BUSY:
+            raise Busy(answer)
+        if answer.status_code >= 400:
+            raise ValueError(f"status {answer.status_code} for {url}")
+        return answer
+
+    return with_retry(once, again=lambda e: not isinstance(e, ValueError), **retry)
 
 
 def list_filings(fetch: Callable[[dict], Mapping[str, Any]], page_size: int = 100, **params: Any) -> list[dict]:
