@@ -19,7 +19,11 @@ and agree from the anchor back to their beginning.
 
 Whole texts that are equal are one class, compared once; and within a batch,
 equal windows go out as one row with all their places. So large groups of
-copies and very common passages are collapsed before any shuffle of theirs.
+copies are collapsed before any shuffle of theirs. A gram that stands in more
+than ``most_rows`` places would still bring all of them to one bucket. Its
+windows are parted further, down to the whole window: each is counted by a
+128-bit digest of its bytes and phase, with partial sums before the shuffle, so
+no task sees more than its share however common a passage is.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +42,7 @@ from quantloom.shared import bound_arrow_batches, stage_table
 #: Window starts that are hashed at once; positions in such a piece fit in _POSITION bits.
 _PIECE = 1 << 20
 _POSITION = 24
-_LEAD = 16
+_LEAD = 64
 _ROWS_AT_ONCE = 16_384
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -233,6 +238,31 @@ def _context_batch(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _CONTEXTS.types, strict=True)], schema=_CONTEXTS)
 
 
+_WINDOWS = pa.schema([("w", pa.binary()), ("doc", pa.int64()), ("nth", pa.int64()), ("start", pa.int64())])
+
+
+def _window_batches(batch: pa.RecordBatch, length: int, size: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Every window of the anchors, by a digest of its bytes and of where the anchor is in it."""
+    w: list[bytes] = []
+    doc: list[int] = []
+    nth: list[int] = []
+    start: list[int] = []
+    for d, n, text, own in zip(*(batch.column(c).to_pylist() for c in ("doc", "nth", "text", "own")), strict=True):
+        for code in own:
+            rest, span = divmod(code, length)
+            pos, back = divmod(rest, length)
+            starts = range(pos - back, pos - back + span + 1)
+            w += [xxhash.xxh3_128_digest(text[i : i + length], seed=pos - i) for i in starts]
+            start += starts
+            doc += [d] * len(starts)
+            nth += [n] * len(starts)
+        if len(w) >= size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((w, doc, nth, start), _WINDOWS.types, strict=True)], schema=_WINDOWS)
+            w, doc, nth, start = [], [], [], []
+    if w:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((w, doc, nth, start), _WINDOWS.types, strict=True)], schema=_WINDOWS)
+
+
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -246,7 +276,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _SPANS = "array<struct<start:long,end:long>>"
 
 
-def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 64) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 64, most_rows: int = 1024) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept_sha256) of every row; spans are the maximal removed runs of bytes.
 
     A byte goes if a string of ``length`` bytes that covers it also starts
@@ -282,18 +312,25 @@ def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 64) -> DataFr
 
     # Counted before the shuffle, and joined so that Spark can split the rows of a very common gram.
     found = chosen.mapInArrow(find, "h long, doc long, nth long, code long")
-    common = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    common = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > most_rows).alias("often"))
     common = common.repartition("h", F.lit(0))  # so that both sides of the join have an exchange of their own, as a skewed join needs
-    again = found.join(common, "h", "left_semi")
-    candidates = again.groupBy(F.col("doc").alias("a_doc")).agg(F.collect_list(F.struct("nth", "code")).alias("all"))
+    again = found.join(common, "h")
+    candidates = again.groupBy(F.col("doc").alias("a_doc")).agg(F.collect_list(F.struct("nth", "code", "often")).alias("all"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return (_context_batch(b, length) for b in batches)
 
-    own = F.transform(F.filter("all", lambda x: x["nth"] == F.col("nth")), lambda x: x["code"])
-    asked = chosen.join(candidates.hint("shuffle_hash"), F.col("doc") == F.col("a_doc")).select("doc", "nth", "text", own.alias("own"))
-    suffixes = asked.mapInArrow(contexts, "lead binary, context binary, back int, members array<struct<doc:long,nth:long,pos:long>>")
+    def every_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from _window_batches(b, length)
+
+    own = lambda often: F.transform(F.filter("all", lambda x: (x["nth"] == F.col("nth")) & (x["often"] == often)), lambda x: x["code"])
+    asked = chosen.join(candidates.hint("shuffle_hash"), F.col("doc") == F.col("a_doc"))
+    rows = lambda often: asked.select("doc", "nth", "text", own(often).alias("own")).where(F.size("own") > 0)
+    suffixes = rows(False).mapInArrow(contexts, "lead binary, context binary, back int, members array<struct<doc:long,nth:long,pos:long>>")
     buckets = suffixes.repartitionByRange("lead").sortWithinPartitions("lead")
+    windows, _ = stage_table(rows(True).mapInArrow(every_window, "w binary, doc long, nth long, start long"), "windows")
+    twice = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -309,6 +346,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 64) -> DataFr
             yield _bucket(held, length, gram)
 
     spans = buckets.mapInArrow(compare, "doc long, nth long, start long, end long")
+    spans = spans.unionAll(windows.join(twice.repartition("w", F.lit(0)), "w", "left_semi").select("doc", "nth", "start", (F.col("start") + length).alias("end")))
     spans = spans.groupBy(F.col("doc").alias("a_doc")).agg(F.collect_list(F.struct("nth", "start", "end")).alias("all"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

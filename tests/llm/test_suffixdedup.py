@@ -39,12 +39,12 @@ def corpus(seed, n=60):
     return docs
 
 
-@pytest.mark.parametrize(("seed", "length", "gram"), [(1, 24, 8), (2, 40, 13), (3, 30, 30)])
-def test_against_brute_force(spark, seed, length, gram, monkeypatch):
+@pytest.mark.parametrize(("seed", "length", "gram", "most_rows"), [(1, 24, 8, 1024), (2, 40, 13, 1024), (3, 30, 30, 1024), (1, 24, 8, 2), (2, 40, 13, 6), (3, 30, 30, 0)])
+def test_against_brute_force(spark, seed, length, gram, most_rows):
     texts = corpus(seed)
     rows = [(i if i % 9 else None, t, i) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, cls int")
-    got = s.repeated_bytes(docs, length, gram).collect()
+    got = s.repeated_bytes(docs, length, gram, most_rows).collect()
     mine = sorted((str(r.doc_id), r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got)
     assert mine == sorted((str(d), *b) for (d, _, _), b in zip(rows, brute(texts, length), strict=True))
 
