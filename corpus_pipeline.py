@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quantloom.llm import fmindex, gam, mixing, repair, simhash
 from quantloom.llm.columns import free_name
 from quantloom.llm.vocabularies import tokenizer_file
-from quantloom.shared import new_path, stage_table
+from quantloom.shared import drop_table, new_path, stage_table, temporary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of ``sf_dir``; what a stage made is dropped when the next one has read it."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = stage_table(stage(spark, docs, sf_dir), name.replace(" ", "-").replace("/", ""))
+        with temporary(spark) as made:
+            docs, path = stage_table(stage(spark, docs, sf_dir), name.replace(" ", "-").replace("/", ""))
+            made.remove(path)
+        if last:
+            drop_table(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,6 +10,7 @@ from there.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 
@@ -26,6 +27,8 @@ from quantloom.shared import bound_arrow_batches, new_path, stage_table
 _PIECES = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]")
 #: White space beyond ASCII: a run of it may join with its neighbours, so such texts go to the library whole.
 _WIDE = re.compile("[%s]" % "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))))
+# Fixed value: the pre-tokenizer for which pieces may be counted by themselves.
+_PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 #: Bytes of pieces and their counts that a worker remembers, about; beyond that it forgets all and starts anew.
 _MEMORY = 64 << 20
 #: Longer pieces are counted each time.
@@ -49,7 +52,10 @@ class Counter:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, int] = {}
         self.bytes = 0
-        self.pieces = pieces
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        plain = spec["normalizer"] is None and spec["model"]["type"] == "BPE" and not any(t["normalized"] or t["lstrip"] or t["rstrip"] for t in spec.get("added_tokens") or [])
+        self.pieces = pieces and plain and {"trim_offsets": True, "use_regex": True, **spec["pre_tokenizer"]} == _PRE_TOKENIZER
 
     def _encode(self, texts: list[str]) -> list[int]:
         return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -109,7 +115,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     ``tokenizer_path``: a .json file of the tokenizers library, at the same
     place on every machine. ``cache_path``: a Parquet folder in shared storage,
     made if missing; by default a new one for this call. ``pieces``: count word
-    by word, for byte-level tokenizers whose words never cross white space.
+    by word where the tokenizer's file says that it is byte-level and cuts at
+    white space; texts go to it whole for any other file.
     Null text is empty (0 tokens). Rows with null or repeated doc_id come back
     each; an empty table gives an empty result; other columns are ignored.
     """
