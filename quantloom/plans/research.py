@@ -39,31 +39,37 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[r6(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def _snapshots(prices: DataFrame) -> DataFrame:
+    return universe.build_snapshots(prices, size=30, min_close=5.0, min_dollar_volume_60=1000.0, min_age_days=252)
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return universe.build_snapshots(panel.prices(spark, sf_dir), size=30, min_close=5.0, min_dollar_volume_60=1000.0, min_age_days=252)
+    return _snapshots(panel.prices(spark, sf_dir))
 
 
-def all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.build_features(panel.prices(spark, sf_dir), panel.benchmark(spark, sf_dir), panel.metadata(spark, sf_dir), snapshots(spark, sf_dir), RULES)
+def all_features(spark: SparkSession, sf_dir: str, bars: panel.Bars | None = None) -> DataFrame:
+    bars = bars or panel.bars(spark, sf_dir)
+    return features.build_features(bars.prices, bars.benchmark, panel.metadata(spark, sf_dir), _snapshots(bars.prices), RULES)
 
 
 def short_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.signals(spark, sf_dir).where("horizon_bucket = 'short'")
 
 
-def selection_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+def selection_frame(spark: SparkSession, sf_dir: str, bars: panel.Bars | None = None) -> DataFrame:
     """The columns that a selection reads; written once, since ranking, spine and month ends each read them."""
     needed = ("date", "ticker", "close", "ret_20", "ret_60", "vol_20", "trend_ok", "eligible_universe")
-    return stage_table(all_features(spark, sf_dir).select(*needed), "features")[0]
+    return stage_table(all_features(spark, sf_dir, bars).select(*needed), "features")[0]
 
 
-def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strategy.target_weights(selection_frame(spark, sf_dir), PICK, short_scores(spark, sf_dir))
+def weights(spark: SparkSession, sf_dir: str, bars: panel.Bars | None = None) -> DataFrame:
+    return strategy.target_weights(selection_frame(spark, sf_dir, bars), PICK, short_scores(spark, sf_dir))
 
 
 def backtest_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a date; written once, since metrics read it several times."""
-    days = backtest.run(panel.prices(spark, sf_dir), weights(spark, sf_dir), COSTS, panel.benchmark(spark, sf_dir), cap=0.02, cash_buffer=0.04)
+    bars = panel.bars(spark, sf_dir)
+    days = backtest.run(bars.prices, weights(spark, sf_dir, bars), COSTS, bars.benchmark, cap=0.02, cash_buffer=0.04)
     return stage_table(days, "backtest")[0]
 
 

@@ -6,9 +6,13 @@ sectors the suppliers' regions, and signals the orders' totals.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.shared import stage_table
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,17 +30,19 @@ def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _bars(ticks: DataFrame, *keys: str) -> DataFrame:
-    """Integer sums first, so that the order of rows cannot change a bar."""
-    first = F.min(F.struct("l_orderkey", "l_linenumber", "l_partkey", "cents"))
-    grouped = ticks.groupBy(*keys, "date").agg(
-        first.alias("first"),
+def _sums(ticks: DataFrame, *keys: str) -> DataFrame:
+    """What bars are made of, in integers, so that the order of rows cannot change a bar."""
+    return ticks.groupBy(*keys, "date").agg(
+        F.min(F.struct("l_orderkey", "l_linenumber", "l_partkey", "cents")).alias("first"),
         F.max("cents").alias("high"),
         F.min("cents").alias("low"),
         F.sum(F.col("cents") * F.col("qty")).alias("notional"),
         F.sum("qty").alias("qty"),
     )
-    return grouped.select(
+
+
+def _bars(sums: DataFrame, *keys: str) -> DataFrame:
+    return sums.select(
         "date",
         *keys,
         (F.col("first.cents") / 100.0).alias("open"),
@@ -47,14 +53,33 @@ def _bars(ticks: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def _benchmark(sums: DataFrame) -> DataFrame:
+    """The bars of all tickers together, from the tickers' sums."""
+    whole = sums.groupBy("date").agg(F.min("first").alias("first"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("notional").alias("notional"), F.sum("qty").alias("qty"))
+    return _bars(whole).withColumn("ticker", F.lit("ALL"))
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, ticker, open, high, low, close, volume): observed weeks only."""
-    return _bars(_ticks(spark, sf_dir), "ticker")
+    return _bars(_sums(_ticks(spark, sf_dir), "ticker"), "ticker")
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One bar a week over all suppliers."""
-    return _bars(_ticks(spark, sf_dir)).withColumn("ticker", F.lit("ALL"))
+    return _benchmark(_sums(_ticks(spark, sf_dir), "ticker"))
+
+
+@dataclass(frozen=True)
+class Bars:
+    """The bars of one run, written once: every operator of the run reads them, and none scans the shipments again."""
+
+    prices: DataFrame
+    benchmark: DataFrame
+
+
+def bars(spark: SparkSession, sf_dir: str) -> Bars:
+    sums, _ = stage_table(_sums(_ticks(spark, sf_dir), "ticker"), "bars")
+    return Bars(_bars(sums, "ticker"), _benchmark(sums))
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
