@@ -36,26 +36,37 @@ def _count_of(text: Column, chars: str) -> Column:
 
 
 def _repeat_words(words: Column, window: int) -> Column:
-    """Words in windows found twice or more: equal windows meet by sorting their digests."""
+    """Words in windows found twice or more; texts whose windows all differ need no more than that to be seen.
 
-    def covered(digests: Column) -> Column:
-        windows = F.transform(
-            F.sequence(F.lit(1), F.size(digests) - (window - 1)),
-            lambda i: F.struct(F.xxhash64(F.slice(digests, i, window)).alias("h"), i.alias("i")),
-        )
+    Else equal windows meet by sorting their digests, and the words that they cover are counted.
+    """
+
+    def meet(a: Column, b: Column, by: int) -> Column:
+        """A digest of each element of a with that of b which is ``by`` places on, as far as b goes."""
+        n = F.size(b) - by
+        return F.zip_with(F.slice(a, 1, n), F.slice(b, by + 1, n), lambda x, y: F.xxhash64(x, y))
+
+    def digests(d: Column, n: int) -> Column:
+        """A digest of the n elements from each place on, made of digests of half as many."""
+        if n == 1:
+            return d
+        return _let(digests(d, n // 2), lambda h: meet(h, h, n // 2)) if n % 2 == 0 else meet(digests(d, n - 1), d, n - 1)
 
+    def covered(windows: Column) -> Column:
         def again(s: Column) -> Column:
             near = lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"])
             return F.filter(F.transform(s, lambda x, k: F.when(F.coalesce(near(x, k), F.lit(False)), x["i"])), lambda i: i.isNotNull())
 
-        places = F.array_sort(_let(F.array_sort(windows), again))
+        placed = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        places = F.array_sort(_let(F.array_sort(placed), again))
         start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
         step = lambda a, i: F.struct(
             (a["n"] + (i + window - F.greatest(i, a["end"]))).cast("long").alias("n"), (i + window).alias("end")
         )
-        return F.aggregate(places, start, step)["n"]
+        found = F.aggregate(places, start, step)["n"]
+        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(found)
 
-    own = _let(F.transform(words, lambda w: F.xxhash64(w)), covered)
+    own = _let(_let(F.transform(words, lambda w: F.xxhash64(w)), lambda d: digests(d, window)), covered)
     return F.when(F.size(words) >= window, own).otherwise(F.lit(0).cast("long"))
 
 

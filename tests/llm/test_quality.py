@@ -90,12 +90,18 @@ def test_rules_of_the_given_labels(spark):
 
 def test_a_first_condition_that_fails_is_set_aside():
     """The condition that gains most covers good rows that no other tells apart; a pure one comes next."""
+    rows = [((1, 0), 39, 3), ((0, 1), 12, 0), ((0, 0), 0, 300)]
+    bins, bad, good = np.array([r[0] for r in rows]), np.array([float(r[1]) for r in rows]), np.array([float(r[2]) for r in rows])
+    learn = lambda **more: decisionlist.learn_rules(bins, [1, 1], bad, good, np.zeros(3, bool), **more)
+    assert learn() == [[(1, True, 0)]]
+    assert learn(purity=0.9) == [[(0, True, 0)], [(1, True, 0)]]
+    assert learn(least_bad=60) == []
+
+
+def test_a_rule_grows_until_it_is_pure():
     rows = [((1, 0), 39, 3), ((1, 1), 20, 0), ((0, 0), 0, 300)]
     bins, bad, good = np.array([r[0] for r in rows]), np.array([float(r[1]) for r in rows]), np.array([float(r[2]) for r in rows])
-    rules = decisionlist.learn_rules(bins, [1, 1], bad, good, np.zeros(3, bool))
-    assert rules == [[(1, True, 0)]]
-    assert decisionlist.learn_rules(bins, [1, 1], bad, good, np.zeros(3, bool), purity=0.9) == [[(0, True, 0)]]
-    assert decisionlist.learn_rules(bins, [1, 1], bad, good, np.zeros(3, bool), least_bad=60) == []
+    assert decisionlist.learn_rules(bins, [1, 1], bad, good, np.zeros(3, bool)) == [[(0, True, 0), (1, True, 0)]]
 
 
 def test_repeated_rows_tied_labels_and_long_texts(spark):
