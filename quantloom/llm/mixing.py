@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.columns import WORD, row_of, unpacked
@@ -124,21 +124,36 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
         .withColumn("slice", F.least(F.floor(F.col("h.time") * SLICES), F.lit(_LAST_SLICE))),
         "mix-times",
     )
-    budget = targets.agg(F.sum("target")).first()[0] or 0.0
-    slices = handed.groupBy("slice").agg(F.sum("__size").alias("n"))
-    up_to = F.sum("n").over(Window.orderBy("slice"))
-    last = slices.select("slice", up_to.alias("up_to"), (up_to - F.col("n")).alias("before")).where(F.col("up_to") >= budget).orderBy("slice").first()
-    if last is None:
-        return Mix(targets, starts, F.lit(None), passes), keyed
-    place = Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
-    inside = handed.where(F.col("slice") == last["slice"]).select("h", (F.lit(last["before"]) + F.coalesce(F.sum("__size").over(place), F.lit(0))).alias("before"))
-    end = inside.where(F.col("before") < budget).agg(F.max("h")).first()[0]
-    if end is None:  # nothing to hand out: the budget is 0
+    end = _end_of_budget(handed, targets.agg(F.sum("target")).first()[0] or 0.0)
+    if end is None:  # nothing to hand out, or the budget is never used up
         return Mix(targets, starts, F.lit(None), passes), keyed
     literal = F.struct(*[F.lit(v).alias(k) for k, v in end.asDict().items()])
     return Mix(targets, starts, literal, passes), keyed
 
 
+def _end_of_budget(handed: DataFrame, budget: float, most_rows: int = 200_000) -> Row | None:
+    """The last hand-out that begins within the budget.
+
+    The slice where the budget ends is cut to slices of its own until it has
+    ``most_rows`` hand-outs or fewer, or no finer time tells them apart; only those are sorted.
+    """
+    scale, before, rows = SLICES, 0, handed
+    while True:
+        counted = rows.groupBy("slice").agg(F.sum("__size").alias("n"), F.count("*").alias("rows"))
+        up_to = F.lit(before) + F.sum("n").over(Window.orderBy("slice"))
+        last = counted.select("slice", "rows", up_to.alias("up_to"), (up_to - F.col("n")).alias("before")).where(F.col("up_to") >= budget).orderBy("slice").first()
+        if last is None:
+            return None
+        before, rows = last["before"], rows.where(F.col("slice") == last["slice"])
+        if last["rows"] <= most_rows or last["slice"] == _LAST_SLICE or scale >= 1 << 48:
+            break
+        scale *= 4096  # a power of two, so that finer slices lie within coarser ones exactly
+        rows = rows.withColumn("slice", F.floor(F.col("h.time") * scale))
+    place = Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.select("h", (F.lit(before) + F.coalesce(F.sum("__size").over(place), F.lit(0))).alias("before"))
+    return inside.where(F.col("before") < budget).agg(F.max("h")).first()[0]
+
+
 def deal(keyed: DataFrame, mix: Mix) -> DataFrame:
     """``keyed`` with __passes: the virtual times of the hand-outs that the mix takes of each row."""
     times = F.filter(

@@ -1,5 +1,6 @@
 import hashlib
 import re
+from functools import partial
 
 import pytest
 from quantloom.llm import mixing
@@ -39,8 +40,9 @@ def brute(rows, weights=(3, 1, 2), share=1.5, passes=2):
     return size, total, target, taken
 
 
-@pytest.mark.parametrize("share", [1.5, 0.3, 2.0])
-def test_against_brute_force(spark, share):
+@pytest.mark.parametrize(("share", "most_rows"), [(1.5, 200_000), (0.3, 200_000), (2.0, 200_000), (1.5, 0), (0.3, 1)])
+def test_against_brute_force(spark, share, most_rows, monkeypatch):
+    monkeypatch.setattr(mixing, "_end_of_budget", partial(mixing._end_of_budget, most_rows=most_rows))
     docs = spark.createDataFrame(ROWS, "doc_id long, source string, text string").selectExpr("*", "1 as target")
     size, total, target, taken = brute(ROWS, share=share)
     want = sorted((str(r[0]), n, total[r[1]], round(target[r[1]], 6), t) for r, n, t in zip(ROWS, size, taken, strict=True))
