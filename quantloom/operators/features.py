@@ -33,10 +33,9 @@ def price_features(prices: DataFrame) -> DataFrame:
     """
     w = by_ticker()
     out = prices.withColumn("__padded", forward_fill(F.col("close")))
-    for k in (1, 5, 20, 60, 120):
-        out = out.withColumn(f"ret_{k}", change(F.col("__padded"), k))
     close, volume = F.col("close"), F.col("volume")
-    out = out.withColumns({"dollar_volume": close * volume, "__range": F.try_divide(F.col("high") - F.col("low"), close)})
+    returns = {f"ret_{k}": change(F.col("__padded"), k) for k in (1, 5, 20, 60, 120)}
+    out = out.withColumns({**returns, "dollar_volume": close * volume, "__range": F.try_divide(F.col("high") - F.col("low"), close)})
     out = out.withColumns(
         {
             "vol_20": rolling(F.stddev_samp, F.col("ret_1"), 20),
@@ -88,8 +87,7 @@ def benchmark_features(benchmark: DataFrame) -> DataFrame:
     close = F.col("close")
     out = keep_last(benchmark.select("date", "close"), ["date"], [close.desc_nulls_last()])
     out = out.withColumn("__padded", forward_fill(close, w))
-    for k in (1, 20, 60):
-        out = out.withColumn(f"benchmark_ret_{k}", change(F.col("__padded"), k, w))
+    out = out.withColumns({f"benchmark_ret_{k}": change(F.col("__padded"), k, w) for k in (1, 20, 60)})
     out = out.withColumns(
         {
             "benchmark_vol_20": rolling(F.stddev_samp, F.col("benchmark_ret_1"), 20, over=w),
@@ -170,5 +168,5 @@ def build_features(
     if benchmark is not None:
         out = out.join(benchmark_features(benchmark), "date", "left")
     if snapshots is not None:
-        out = apply_snapshots(out, snapshots)
+        out = apply_snapshots(out, snapshots, prices)
     return context_features(out, rules)

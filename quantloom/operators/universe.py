@@ -18,15 +18,17 @@ def intervals(snapshots: DataFrame) -> DataFrame:
     return snapshots.select("ticker", F.col("effective_date").alias("start")).distinct().join(dated, "start")
 
 
-def apply_snapshots(features: DataFrame, snapshots: DataFrame) -> DataFrame:
+def apply_snapshots(features: DataFrame, snapshots: DataFrame, days: DataFrame | None = None) -> DataFrame:
     """Rows whose ticker is in the snapshot in force on their date; none before the first snapshot.
 
+    ``days``: the dates of the features (column date), where a shorter way to them is known.
+
     Dates are turned to the snapshot in force first, so the join is on equal
     keys and not on a range.
     """
     dates = snapshots.select(F.col("effective_date").alias("start")).distinct()
     in_force = Window.orderBy("date", F.col("start").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    days = features.select("date").distinct()
+    days = (features if days is None else days).select("date").distinct()
     marked = days.select("date", F.lit(None).cast("date").alias("start")).unionAll(dates.select(F.col("start").alias("date"), "start"))
     at = marked.withColumn("start_in_force", F.last("start", ignorenulls=True).over(in_force)).where("start is null").select("date", "start_in_force")
     members = snapshots.select(F.col("effective_date").alias("start_in_force"), "ticker").distinct()

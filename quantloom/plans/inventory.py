@@ -709,7 +709,7 @@ _AUDIT = {
     (SELECT round(avg(CASE WHEN forward_5d_return IS NOT NULL AND llm_score <> 0 THEN CAST(sign(forward_5d_return) = sign(llm_score) AS DOUBLE) END), 6) FROM one) AS directional_hit_rate_5d, min(date) AS price_start_date, max(date) AS price_end_date,
     round(max_by(close, date) / min_by(close, date) - 1, 6) AS buy_hold_total_return, round(product(1 + live * r) - 1, 6) AS signal_strategy_total_return FROM held_days""", **_AUDIT))
 def a14_ticker_audit(spark, sf_dir):
-    """The audit of one ticker, the feature that the reference has it for; all are in a14_signal_audit."""
+    """The audit of one ticker, which is what the operator is for; all tickers are in a14_signal_audit."""
     prices, events = panel.prices(spark, sf_dir), _events(spark, sf_dir).where("ticker = 'S7'")
     daily = research.signal_strategy(prices.where("ticker = 'S7'"), events, 1000.0)
     row = reports.audit_row("s7", "1992-01-01", "2000-12-31", events, daily, 0, 0, 1000.0, (5,))
