@@ -30,7 +30,7 @@ _WIDE = re.compile("[%s]" % "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000,
 # Fixed value: the pre-tokenizer for which pieces may be counted by themselves.
 _PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 #: Bytes of pieces and their counts that a worker remembers, about; beyond that it forgets all and starts anew.
-_MEMORY = 64 << 20
+_MEMORY = 128 << 20
 #: Longer pieces are counted each time.
 _LONGEST = 64
 
