@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.operators import metrics
-from quantloom.operators.research import signal_coverage
+from quantloom.operators.research import hit_rate, signal_coverage
 
 
 def require_same_data(configs: Mapping[str, Any]) -> None:
@@ -142,12 +142,14 @@ def tier_models(board: DataFrame) -> DataFrame:
     return board.groupBy("priority_tier").agg(F.array_join(own, ",").alias("models"))
 
 
-def audit_row(ticker: str, start: str, end: str, events: DataFrame, daily: DataFrame, sections: int, scored: int, capital: float, horizons: Sequence[int] = (1, 5, 20)) -> DataFrame:
-    """One row on a ticker's signals: span of prices, counts, mean score, confidence and risk, end values of holding and of the strategy, and by horizon correlation and hit rate."""
-    span = daily.agg(
+def audit_rows(events: DataFrame, daily: DataFrame, start: str, end: str, capital: float, horizons: Sequence[int] = (1, 5, 20)) -> DataFrame:
+    """A row on the signals of each ticker with prices: span of prices, counts, mean score, confidence and risk, end values of holding and of the strategy, and by horizon correlation and hit rate.
+
+    ``daily``: rows (ticker, date, close, portfolio_value) of the strategy, which began with ``capital``; tickers without a signal have counts of 0.
+    """
+    span = daily.groupBy("ticker").agg(
         F.min("date").alias("price_start_date"), F.max("date").alias("price_end_date"),
-        F.coalesce(F.max_by("portfolio_value", "date"), F.lit(capital)).alias("signal_strategy_end_capital"),
-        F.coalesce(F.max_by("close", "date") / F.min_by("close", "date") * capital, F.lit(capital)).alias("buy_hold_end_capital"),
+        F.max_by("portfolio_value", "date").alias("signal_strategy_end_capital"), (F.max_by("close", "date") / F.min_by("close", "date") * capital).alias("buy_hold_end_capital"),
     )
     score = F.col("llm_score")
     own: list[Column] = [F.count("*").alias("signal_event_count"), F.avg("llm_score").alias("avg_llm_score")]
@@ -157,8 +159,7 @@ def audit_row(ticker: str, start: str, end: str, events: DataFrame, daily: DataF
         both = r.isNotNull() & score.isNotNull()
         x, y = F.when(both, score), F.when(both, r)
         own.append(F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y)).alias(f"llm_forward_corr_{h}d"))
-        own.append(F.avg(F.when(both & (score != 0), (F.signum(r) == F.signum(score)).cast("double"))).alias(f"directional_hit_rate_{h}d"))
-    out = events.agg(*own).join(span, how="cross")
-    fixed = {"ticker": ticker.upper(), "requested_start_date": start, "requested_end_date": end, "section_count": sections, "scored_section_count": scored, "initial_capital": float(capital)}
-    out = out.withColumns({k: F.lit(v) for k, v in fixed.items()})
+        own.append(hit_rate(score, r).alias(f"directional_hit_rate_{h}d"))
+    out = span.join(events.groupBy("ticker").agg(*own), "ticker", "left").fillna(0, ["signal_event_count"])
+    out = out.withColumns({"requested_start_date": F.lit(start), "requested_end_date": F.lit(end), "initial_capital": F.lit(float(capital))})
     return out.withColumns({f"{k}_total_return": F.col(f"{k}_end_capital") / float(capital) - 1 for k in ("signal_strategy", "buy_hold")})

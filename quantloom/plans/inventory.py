@@ -698,23 +698,22 @@ def a13_signal_correlation(spark, sf_dir):
 
 _AUDIT = {
     **_EVENTS,
-    "one": "SELECT * FROM ev WHERE ticker = 'S7'",
-    "held_days": """SELECT date, close, lag(pos, 1, 0) OVER (ORDER BY date) AS live, coalesce(close / nullif(lag(close) OVER (ORDER BY date), 0) - 1, 0) AS r FROM (
-        SELECT p.date, p.close, CASE WHEN e.llm_score IS NULL THEN 0 ELSE greatest(0, least(1, e.llm_score)) END AS pos FROM (SELECT * FROM prices WHERE ticker = 'S7') p ASOF LEFT JOIN (
-            SELECT ticker, trade_date, max_by(llm_score, signal_date) AS llm_score FROM one WHERE trade_date IS NOT NULL GROUP BY ticker, trade_date) e ON e.ticker = p.ticker AND p.date >= e.trade_date)""",
+    "held_days": """SELECT ticker, date, close, lag(pos, 1, 0) OVER w AS live, coalesce(close / nullif(lag(close) OVER w, 0) - 1, 0) AS r FROM (
+        SELECT p.ticker, p.date, p.close, CASE WHEN e.llm_score IS NULL THEN 0 ELSE greatest(0, least(1, e.llm_score)) END AS pos FROM prices p ASOF LEFT JOIN (
+            SELECT ticker, trade_date, max_by(llm_score, signal_date) AS llm_score FROM ev WHERE trade_date IS NOT NULL GROUP BY ticker, trade_date) e ON e.ticker = p.ticker AND p.date >= e.trade_date) WINDOW w AS (PARTITION BY ticker ORDER BY date)""",
+    "own": """SELECT ticker, count(*) AS n, avg(llm_score) AS score, corr(llm_score, forward_5d_return) AS c, avg(CASE WHEN forward_5d_return IS NOT NULL AND llm_score <> 0 THEN CAST(sign(forward_5d_return) = sign(llm_score) AS DOUBLE) END) AS hits FROM ev GROUP BY ticker""",
+    "days_of": "SELECT ticker, min(date) AS price_start_date, max(date) AS price_end_date, max_by(close, date) / min_by(close, date) - 1 AS hold, ln(1 + product(1 + live * r)) AS strategy FROM held_days GROUP BY ticker",
 }
 
 
-@query("a14_ticker_audit", with_tables("""SELECT 'S7' AS ticker, (SELECT count(*) FROM one) AS signal_event_count, (SELECT round(avg(llm_score), 6) FROM one) AS avg_llm_score, (SELECT round(corr(llm_score, forward_5d_return), 6) FROM one) AS llm_forward_corr_5d,
-    (SELECT round(avg(CASE WHEN forward_5d_return IS NOT NULL AND llm_score <> 0 THEN CAST(sign(forward_5d_return) = sign(llm_score) AS DOUBLE) END), 6) FROM one) AS directional_hit_rate_5d, min(date) AS price_start_date, max(date) AS price_end_date,
-    round(max_by(close, date) / min_by(close, date) - 1, 6) AS buy_hold_total_return, round(product(1 + live * r) - 1, 6) AS signal_strategy_total_return FROM held_days""", **_AUDIT))
-def a14_ticker_audit(spark, sf_dir):
-    """The audit of one ticker, which is what the operator is for; all tickers are in a14_signal_audit."""
-    prices, events = panel.prices(spark, sf_dir), _events(spark, sf_dir).where("ticker = 'S7'")
-    daily = research.signal_strategy(prices.where("ticker = 'S7'"), events, 1000.0)
-    row = reports.audit_row("s7", "1992-01-01", "2000-12-31", events, daily, 0, 0, 1000.0, (5,))
-    names = ("ticker", "signal_event_count", "avg_llm_score", "llm_forward_corr_5d", "directional_hit_rate_5d", "price_start_date", "price_end_date", "buy_hold_total_return", "signal_strategy_total_return")
-    return rounded(row.select(*names))
+@query("a14_ticker_audits", with_tables("""SELECT ticker, coalesce(n, 0) AS signal_event_count, round(score, 6) AS avg_llm_score, round(c, 6) AS llm_forward_corr_5d, round(hits, 6) AS directional_hit_rate_5d, price_start_date, price_end_date,
+    round(hold, 6) AS buy_hold_total_return, round(strategy, 6) AS ln_signal_strategy FROM days_of LEFT JOIN own USING (ticker)""", **_AUDIT))
+def a14_ticker_audits(spark, sf_dir):
+    """The audit of every ticker's signals, with what its strategy and its holding are worth at the end."""
+    prices, events = panel.prices(spark, sf_dir), _events(spark, sf_dir)
+    rows = reports.audit_rows(events, research.signal_strategy(prices, events, 1000.0), "1992-01-01", "2000-12-31", 1000.0, (5,))
+    names = ("ticker", "signal_event_count", "avg_llm_score", "llm_forward_corr_5d", "directional_hit_rate_5d", "price_start_date", "price_end_date", "buy_hold_total_return")
+    return rounded(rows.select(*names, F.ln(1 + F.col("signal_strategy_end_capital") / 1000.0).alias("ln_signal_strategy")))
 
 
 @query("d8_annualised", with_tables("SELECT round(CASE WHEN e > 0 THEN pow(e, 252e0 / n) - 1 ELSE 0 END, 6) AS cagr FROM (SELECT max_by(equity, date) AS e, CAST(count(*) AS DOUBLE) AS n FROM curves)"))
