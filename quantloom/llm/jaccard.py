@@ -63,25 +63,51 @@ def sketches(docs: DataFrame, fingerprint: Callable[[bytes], int], words: int) -
     return tied.mapInArrow(arrow_map(rows), "doc_id long, tie long, fp long, sig long, keys array<long>")
 
 
+class _Postings:
+    """Which of some sets have which element."""
+
+    def __init__(self, ids: np.ndarray, start: np.ndarray, among: np.ndarray, n_ids: int) -> None:
+        size = start[among + 1] - start[among]
+        at = np.repeat(start[among] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        own = ids[at]
+        order = np.argsort(own, kind="stable")
+        self.sets = np.repeat(among.astype(np.int32), size)[order]
+        self.ends = np.cumsum(np.bincount(own, minlength=n_ids))
+        self.count = len(among)
+
+    def shared(self, own: np.ndarray, n: int) -> np.ndarray:
+        """How many of the elements ``own`` each of n sets has."""
+        begin = np.where(own > 0, self.ends[own - 1], 0)
+        size = self.ends[own] - begin
+        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return np.bincount(self.sets[at], minlength=n)
+
+
 def set_stars(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links (positions) that join each group of similar sets to its first member; compares exactly."""
-    size = np.array([len(s) for s in sets])
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    start = np.concatenate([[0], np.cumsum(size)])
-    mark = np.zeros(ids.max() + 1, bool)
-    left = np.ones(len(sets), bool)
+    """Links (positions) that join each group of similar sets to its first member; compares exactly.
+
+    A set is compared with those that share an element with it and belong to no
+    group yet; the lists of elements are made anew when half of their sets have found one.
+    """
+    n, size = len(sets), np.array([len(s) for s in sets])
+    # Numbers of 32 bits in place of the hashes, looked up set by set: an inverse of all at once holds far more.
+    known = np.unique(np.concatenate(sets))
+    ids = np.concatenate([np.searchsorted(known, s).astype(np.int32) for s in sets])
+    n_ids, start = len(known), np.concatenate([[0], np.cumsum(size)])
+    del known
+    left = np.ones(n, bool)
+    postings = _Postings(ids, start, np.arange(n), n_ids)
     out: list[tuple[int, int]] = []
-    for root in range(len(sets)):
+    for root in range(n):
         if not left[root]:
             continue
         left[root] = False
         front = [root]
         while front and left.any():
+            if 2 * int(left.sum()) <= postings.count:
+                postings = _Postings(ids, start, np.flatnonzero(left), n_ids)
             at = front.pop()
-            own = ids[start[at] : start[at + 1]]
-            mark[own] = True
-            both = np.add.reduceat(mark[ids], start[:-1], dtype=np.int64)
-            mark[own] = False
+            both = postings.shared(ids[start[at] : start[at + 1]], n)
             near = np.flatnonzero(left & (both >= similarity * (size + size[at] - both)))
             left[near] = False
             front += near.tolist()
