@@ -199,7 +199,7 @@ class Encoder:
         done = 0
         for rows, table, cuts in ((by_kind[1], _LOWER_ASCII, _WORDS), (by_kind[2], _LOWER, _RUNS)):
             # Few bytes at a time: offsets are 32 bits wide.
-            for some in _parts(rows, texts, 4 << 20):
+            for some in _parts(rows, texts, 2 << 20):
                 ids, n = self._by_runs([texts[i].encode().translate(table) for i in some], cuts)
                 start[some], lengths[some] = done + np.cumsum(n) - n, n
                 parts.append(ids)

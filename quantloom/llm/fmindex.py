@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.columns import free_name
+from quantloom.llm.columns import free_name, tidy
 from quantloom.shared import bound_arrow_batches, drop_table, stage_table
 
 #: Bytes of words (digits, letters and whatever is not ASCII), A-Z lower-cased; all others become spaces.
@@ -288,7 +288,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                     at += b.num_rows
                     yield _with_found(b, own)
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(tidy(run), out.schema)
         items = next(blocks, None)
     return out
 
@@ -357,5 +357,5 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 1
                 b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(text, pa.string()))
             yield b.select([own.get(c, c) for c in columns]).rename_columns(columns)
 
-    out = found.mapInArrow(run, T.StructType([docs.schema[c] for c in columns]))
+    out = found.mapInArrow(tidy(run), T.StructType([docs.schema[c] for c in columns]))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.columns import texts
+from quantloom.llm.columns import texts, tidy
 from quantloom.shared import bound_arrow_batches
 
 _SYMBOLS = list(b"#*$%&|<>")
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> Model
             x = [list(text_numbers(t)) for t in texts(b)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality").cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
-    got = chosen.mapInArrow(rows, "doc_id long, quality int, x array<double>").collect()
+    got = chosen.mapInArrow(tidy(rows), "doc_id long, quality int, x array<double>").collect()
     got.sort(key=lambda r: (r.doc_id, r.quality, r.x))
     return fit_model(np.array([r.x for r in got]).reshape(len(got), len(NAMES)), np.array([r.quality for r in got], float))
 
@@ -208,4 +208,4 @@ def score_documents(docs: DataFrame, model: Model, name: str = "score") -> DataF
             x = np.array([text_numbers(t) for t in texts(b)]).reshape(b.num_rows, len(NAMES))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(x), pa.float64())], [*b.schema.names, name])
 
-    return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(tidy(rows), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

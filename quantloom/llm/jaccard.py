@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.columns import arrow_map, texts
+from quantloom.llm.columns import arrow_map, texts, tidy
 from quantloom.llm.components import connected_components
 from quantloom.shared import bound_arrow_batches, stage_table
 
@@ -154,4 +154,4 @@ def similar_links(docs: DataFrame, own: DataFrame, similarity: float, words: int
         if sets:
             yield ended()
 
-    return dealt.mapInArrow(links, "a long, b long").where("a <> b").unionAll(same)
+    return dealt.mapInArrow(tidy(links), "a long, b long").where("a <> b").unionAll(same)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.columns import narrowed
+from quantloom.llm.columns import narrowed, tidy
 from quantloom.llm.encoder import _gather, encoder
 from quantloom.shared import bound_arrow_batches, stage_table
 
@@ -290,7 +290,7 @@ _ARROW = pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("n_docs", pa.int
 
 
 #: Characters that are encoded at a time: runs that repeat among them are looked up once.
-_AT_ONCE = 4 << 20
+_AT_ONCE = 2 << 20
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, shard_tokens: int = 1 << 20, memory: int = 64 << 20) -> None:
@@ -344,7 +344,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         if held:
             yield shard()
 
-    dealt.mapInArrow(run, SCHEMA).write.parquet(path)
+    dealt.mapInArrow(tidy(run), SCHEMA).write.parquet(path)
 
 
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
@@ -397,4 +397,4 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 cols = [shard.doc_ids, start + np.cumsum(sizes) - sizes, sizes, crc]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, out.types, strict=True)], schema=out)
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quantloom.llm import jaccard
-from quantloom.llm.columns import arrow_map, row_of, texts, unpacked
+from quantloom.llm.columns import arrow_map, row_of, texts, tidy, unpacked
 from quantloom.llm.components import connected_components
 from quantloom.shared import bound_arrow_batches, stage_table
 
@@ -157,7 +157,7 @@ def near_links(fps: DataFrame, distance: int = 3, blocks: int = 6) -> DataFrame:
     )
     # Unsigned order of fp, which the lookups in a bucket rely on.
     dealt = keys.repartition("k", "key").sortWithinPartitions("k", "key", F.col("fp").bitwiseXOR(F.lit(-(1 << 63))))
-    return dealt.mapInArrow(_links_of_sorted(masks, distance), "a long, b long")
+    return dealt.mapInArrow(tidy(_links_of_sorted(masks, distance)), "a long, b long")
 
 
 def _with_lowest(docs: DataFrame, words: int, seed: int, distance: int, blocks: int, similarity: float | None = None, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
